@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing
+from . import chat_format, embedding_dedup, exact_dedup, mixing, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op5_packing": packing.op5_packing,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
+    "op10_quality": quality.op10_quality,
 }
 SQL = {"op2_chat_format": chat_format.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
