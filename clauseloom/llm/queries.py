@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import chat_format, embedding_dedup, exact_dedup, lm_score, mixing, ngram_join, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,

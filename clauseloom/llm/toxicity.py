@@ -185,7 +185,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     return rows.mapInArrow(lambda it: _score(it, shared, names), "doc_id long, " + ", ".join(f"p_{n} double" for n in names))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.2) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
     scored = score_toxicity(docs, train_toxicity(docs, labels))
     return scored.withColumn("held_out", held_out()).withColumn("score", F.col("p_toxic")).withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("toxic", F.col("predicted") == 1)
 
