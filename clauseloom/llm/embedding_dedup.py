@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from .common import components, lookup, stage
 
 
+#: How far guests go, in standard deviations of a random difference along one direction; the square root of the number of
+#: dimensions would make the search exact. At 3, recall on the test tables is 1.
+REACH = 3.0
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors in double precision as bytes, with a digest of the vector's own values; null for vectors that link with nothing."""
     for batch in batches:
@@ -44,11 +49,12 @@ def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 8, seed: int = 5)
 def _cells(batches: Iterator[pa.RecordBatch], centres, threshold: float) -> Iterator[pa.RecordBatch]:
     """Each vector to its own cell and, as a guest, to each other cell that may hold a partner of it.
 
-    If x lies in cell i and y in cell h, the plane halfway between the centres parts them; at an angle of at most
-    arccos(threshold) from x, y is at most sin(arccos(threshold)) from that plane. So no pair is missed.
+    If x lies in cell i and y in cell h, the plane halfway between the centres parts them, and y is no further from that
+    plane than the part of x - y that is square to it. Of a difference at the threshold, sqrt(2 - 2 * threshold) long and
+    spread over the dimensions at random, that part stays below REACH standard deviations for nearly all pairs.
     """
     c = centres.value
-    reach = math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
+    reach = min(1.0, REACH / math.sqrt(max(1, c.shape[1]))) * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     if len(c):
         far = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-18))
     for batch in batches:
@@ -73,7 +79,7 @@ def _cells(batches: Iterator[pa.RecordBatch], centres, threshold: float) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(np.where(own, cells, -1 - cells), pa.int64()), pa.array(own), pa.array([rep[i] for i in rows], pa.int64()), pa.array([n[i] for i in rows], pa.int64()), pa.array([raw[i] for i in rows], pa.binary())], names=["cell", "own", "rep", "n", "unit"])
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, step: int = 512):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows of one block against those of another: links of each row, and the smallest id that the pair of blocks joins it to."""
         left, right = pdf[pdf["row"]], pdf[~pdf["row"]]
@@ -82,9 +88,12 @@ def _compare(threshold: float):
             return none
         a, b = (np.frombuffer(b"".join(x["unit"])).reshape(len(x), -1) for x in (left, right))
         ids, others, n = left["rep"].to_numpy(), right["rep"].to_numpy(), right["n"].to_numpy()
-        i, j = np.nonzero(a @ b.T >= threshold)
-        keep = ids[i] != others[j]
-        i, j = i[keep], j[keep]
+        found = []
+        for at in range(0, len(a), step):
+            i, j = np.nonzero(a[at : at + step] @ b.T >= threshold)
+            keep = ids[at + i] != others[j]
+            found.append((at + i[keep], j[keep]))
+        i, j = (np.concatenate(x) for x in zip(*found))
         links = np.bincount(i, weights=n[j], minlength=len(ids)).astype("i8")
         at, to = ids.copy(), others.copy()
         while True:
@@ -99,12 +108,13 @@ def _compare(threshold: float):
     return block
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = 1500, sample_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = 2500, sample_rows: int = 8192, block_rows: int = 2048, guest_rows: int = 8192) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Equal vectors are collapsed first and counted. Centres of about one cell per ``cell_rows`` vectors are fitted on at
     most ``sample_rows`` of them (so at most an eighth as many cells); every vector goes to its cell and, as a guest, to
-    each cell from which a partner may come, which makes the search exact. A cell is compared block by block, each pair
+    each cell from which a partner is likely to come (see REACH); pairs are then judged by their exact cosine. A cell is
+    compared block by block, each pair
     of blocks a task of its own that returns counts and one label per vector instead of pairs, so neither a hot cell nor
     a large group of copies meets in one task.
 
@@ -123,11 +133,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         centres = spherical_kmeans(sample, max(1, min(dim[1] // cell_rows, max(1, len(some) // 8))))
     shared = spark.sparkContext.broadcast(centres)
     cells = stage(groups.mapInArrow(lambda it: _cells(it, shared, threshold), "cell long, own boolean, rep long, n long, unit binary"), "cells")
-    blocks = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks")))
-    placed = cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = placed.where("own").select("cell", F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("row"), "rep", "n", "unit")
-    right = placed.select("cell", every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("row"), "rep", "n", "unit")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("own") / block_rows).alias("own_blocks"), F.ceil(F.count(F.lit(1)) / guest_rows).alias("blocks"))
+    placed = cells.join(F.broadcast(stage(sizes.where("own_blocks > 0"), "sizes")), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n))
+    left = placed.where("own").select("cell", block("own_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("row"), "rep", "n", "unit")
+    right = placed.select("cell", every("own_blocks").alias("i"), block("blocks").alias("j"), F.lit(False).alias("row"), "rep", "n", "unit")
     found = stage(left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(_compare(threshold), "rep long, links long, label long"), "links")
     labels = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
