@@ -215,7 +215,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame, chunk: int = 256) -> DataFra
     return both.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("segment", "other"))).alias("overlap"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", fragment_rows: int = 1_000_000, pair_limit: int = 200_000, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", fragment_rows: int = 1_000_000, pairs_per_entry: int = 100, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id under links of Jaccard similarity >= percent / 100.
 
     Equal sets are one node. The global order of shingles is rare first by a hashed count sketch (of fixed size; any fixed
@@ -250,10 +250,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     sizes = nodes.select(F.col("id").alias("node"), "n")
     scores = entries.groupBy("node").agg(F.sum("m").alias("score"))
     entries = stage(lookup(entries, scores.join(sizes, "node"), "node"), "open")
-    wanted = stage(entries.select("node").distinct().join(nodes.select(F.col("id").alias("node"), "rep"), "node").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    count = wanted.count()
-    picked = texts.join(F.broadcast(wanted) if count <= broadcast_rows else wanted, "doc_id", "left_semi")
-    segments = stage(picked.mapInArrow(lambda it: _segments(it, width, 8), "node long, fragment int, segment array<long>").dropDuplicates(["node", "fragment"]), "segments") if count else None
+    count = entries.count()
+    reps = nodes.select(F.col("id").alias("node"), F.col("rep").alias("doc_id"))
+    segments, have = None, None
 
     links, labels, tested, turn = None, None, None, 0
     while count:
@@ -265,7 +264,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
         left = per.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
         if not left:
             break
-        last = turn > 1 and left <= pair_limit or turn > 5
+        last = turn > 1 and left <= pairs_per_entry * count or turn > 4
         entry = F.struct("node", "n", "pos", "comp")
         if last:
             heads = current.select("token", entry.alias("lead"))
@@ -283,6 +282,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
             back = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(tested.unionByName(back), ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
+        # the sets of nodes that are in a pair for the first time
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = stage(wanted if have is None else wanted.join(have, "node", "left_anti"), "wanted")
+        some = stage(wanted.join(reps, "node").select("doc_id").distinct(), "wanted-ids")
+        picked = texts.join(F.broadcast(some) if some.count() <= broadcast_rows else some, "doc_id", "left_semi")
+        new = stage(picked.mapInArrow(lambda it: _segments(it, width, 8), "node long, fragment int, segment array<long>").dropDuplicates(["node", "fragment"]), "segments")
+        segments, have = (new, wanted) if segments is None else (segments.unionByName(new), have.unionByName(wanted))
         found = overlaps(pairs, segments).where(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
         found = stage(found, "found")
         links = found if links is None else links.unionByName(found)
