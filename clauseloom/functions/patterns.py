@@ -43,34 +43,42 @@ def normalize_quotes(text: Column) -> Column:
 def find_spans(text: Column, regex: str, groups: tuple[int, ...] = ()) -> Column:
     """Every match with its offsets: array of (start, stop, match, g1, ...), the groups asked for after the match.
 
-    What ``split`` leaves are the gaps between matches, so running sums of gap and match lengths give the offsets.
+    What ``split`` leaves are the gaps between matches, so running sums of gap and match lengths give the offsets. Groups
+    are read from the match alone, so the text is scanned twice whatever is asked for.
     """
-    found = [F.regexp_extract_all(text, F.lit(regex), F.lit(g)) for g in (0, *groups)]
-    zipped = F.arrays_zip(F.slice(F.split(text, regex, -1), 1, F.greatest(F.size(found[0]), F.lit(1))).alias("gap"), *[x.alias(f"g{g}") for g, x in zip((0, *groups), found)])
-    empty = F.array().cast("array<struct<start:int,stop:int,match:string" + "".join(f",g{g}:string" for g in groups) + ">>")
-    stop = lambda done: F.coalesce(F.element_at(done, -1)["stop"], F.lit(0))
-    step = lambda done, m: F.array_append(done, F.struct((F.when(F.size(done) > 0, stop(done)).otherwise(0) + F.length(m["gap"])).alias("start"), (F.when(F.size(done) > 0, stop(done)).otherwise(0) + F.length(m["gap"]) + F.length(m["g0"])).alias("stop"), m["g0"].alias("match"), *[m[f"g{g}"].alias(f"g{g}") for g in groups]))
-    return F.aggregate(F.filter(zipped, lambda m: m["g0"].isNotNull()), empty, step)
+    zipped = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("g0"))
+    empty = F.array().cast("array<struct<start:int,stop:int,match:string>>")
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["stop"], F.lit(0))
+    step = lambda done, m: F.when(m["g0"].isNull(), done).otherwise(F.array_append(done, F.struct((last(done) + F.length(m["gap"])).alias("start"), (last(done) + F.length(m["gap"]) + F.length(m["g0"])).alias("stop"), m["g0"].alias("match"))))
+    found = F.aggregate(zipped, empty, step)
+    if not groups:
+        return found
+    return F.transform(found, lambda m: F.struct(m["start"], m["stop"], m["match"], *[F.regexp_extract(m["match"], regex, g).alias(f"g{g}") for g in groups]))
+
+
+#: Groups that a pattern's spans carry as a and b, and text without which it cannot match.
+_GROUPS = {DEFINITION: (1, 2), PARENTHETICAL: (1, 2), SECTION: (1,), DURATION: (2, 3), ALIAS: (1, 2), PARTY: (1, 2)}
+_NEEDS = {DEFINITION: '"', PARENTHETICAL: "(", PERCENTAGE: "%", PARTY: ")"}
 
 
 def _spans_of(text: Column, name: str, rank: int, regex: str, group: int) -> Column:
-    groups = {0: (), 1: (1, 2), 2: (2, 3)}[{DEFINITION: 1, PARENTHETICAL: 1, ALIAS: 1, PARTY: 1, DURATION: 2, SECTION: 0}.get(regex, 0)]
-    if regex == SECTION:
-        groups = (1,)
+    groups = _GROUPS.get(regex, ())
+    run, none = regex in (ALIAS, PARTY), F.lit(None).cast("string")
 
     def span(m, i):
-        lead = F.length(F.regexp_extract(m["match"], r"^[\s&.,]*", 0)) if regex in (ALIAS, PARTY) else F.lit(0)
-        value = m["match"] if group == 0 else m[f"g{group}"]
-        value = F.substring(value, lead + 1, F.length(value)) if regex in (ALIAS, PARTY) else F.trim(value) if regex == PARENTHETICAL else value
-        a, b = (F.trim(m[f"g{g}"]) if regex in (ALIAS, PARTY, PARENTHETICAL) else m[f"g{g}"] for g in groups) if len(groups) == 2 else (m[f"g{groups[0]}"] if groups else F.lit(None).cast("string"), F.lit(None).cast("string"))
-        b = F.trim(b) if regex == DEFINITION else b
-        return F.struct((m["start"] + lead).alias("start"), F.lit(rank).alias("rank"), i.alias("n"), m["stop"].alias("stop"), F.lit(name).alias("pattern"), value.alias("value"), a.alias("a"), b.alias("b"))
+        lead = F.length(F.regexp_extract(m["match"], r"^[\s&.,]*", 0)) if run else F.lit(0)
+        value = F.substring(m["match"], lead + 1, F.length(m["match"])) if run else m["match"] if group == 0 else m[f"g{group}"]
+        parts = [F.trim(m[f"g{g}"]) if run or regex == PARENTHETICAL or g == 2 and regex == DEFINITION else m[f"g{g}"] for g in groups] + [none, none]
+        made = lambda n, v, a, b: F.struct((m["start"] + lead).alias("start"), F.lit(rank).alias("rank"), n.alias("n"), m["stop"].alias("stop"), F.lit(name).alias("pattern"), v.alias("value"), a.alias("a"), b.alias("b"))
+        if regex != PARENTHETICAL:
+            return made(i, value, parts[0], parts[1])
+        # the second term of (the "A" or "B") has the same span
+        one, two = made(i * 2, parts[0], parts[0], none), made(i * 2 + 1, parts[1], parts[1], none)
+        return F.when(parts[1] != "", F.array(one, two)).otherwise(F.array(one))
 
     spans = F.transform(find_spans(text, regex, groups), span)
-    if regex == PARENTHETICAL:  # the second term of (the "A" or "B") has the same span
-        other = F.transform(F.filter(spans, lambda s: F.coalesce(s["b"], F.lit("")) != ""), lambda s: F.struct(s["start"], s["rank"], s["n"], s["stop"], s["pattern"], s["b"].alias("value"), s["b"].alias("a"), F.lit(None).cast("string").alias("b")))
-        return F.concat(F.transform(spans, lambda s: s.withField("n", s["n"] * 2).withField("b", F.lit(None).cast("string"))), F.transform(other, lambda s: s.withField("n", s["n"] * 2 + 1)))
-    return spans
+    spans = (F.flatten(spans) if regex == PARENTHETICAL else spans).cast(f"array<{SPAN}>")
+    return F.when(F.contains(text, F.lit(_NEEDS[regex])), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if regex in _NEEDS else spans
 
 
 def all_spans(text: Column) -> Column:

@@ -35,9 +35,16 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores: small files would leave costly text work to one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, styled, owner, signed, text) by the SQL above, without leaving names behind in the session's catalog."""
     orders, customer, nation, region = tables(spark, sf_dir, "orders", "customer", "nation", "region")
+    orders = spread(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     return spark.sql(CORPUS_SQL.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("JOIN nation", "JOIN {nation}").replace("JOIN region", "JOIN {region}"), orders=orders, customer=customer, nation=nation, region=region)
 
 
