@@ -96,6 +96,18 @@ def _repeated(table: pa.Table, bits: int, fragments: int) -> pa.Table:
     return pa.table({"fragment": table["fragment"].slice(0, 1), "bitmap": pa.array([np.packbits(bitmap).tobytes()], pa.binary()), "n": pa.array([int(total[total > 1].sum())], pa.int64())})
 
 
+#: Packed text is compressed once more before it is shuffled: pieces of one anchor overlap and repeat one another.
+_CODEC = "zstd"
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _expand(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec=_CODEC, asbytes=True)
+
+
 PIECES = "bucket int, anchor binary, doc binary, proof binary, first binary, left binary, windows binary, settled binary, blob binary"
 
 
@@ -112,7 +124,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, bitmap, bits: int, b
         parts = [np.concatenate([h[k] for h in held]) for k in range(7)]
         blobs = np.concatenate([h[7] for h in held])
         bucket = (parts[0] % np.uint64(buckets)).astype(int)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((parts[0], bucket))
         lengths = np.where(parts[6] == 2, 0, parts[5] + length - 1)
         begin = np.r_[0, np.cumsum(lengths)[:-1]]
         cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
@@ -121,7 +133,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, bitmap, bits: int, b
             own = order[a:b]
             n = lengths[own]
             at = np.repeat(begin[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            rows.append([int(bucket[own[0]]), *(p[own].tobytes() for p in parts), blobs[at].tobytes()])
+            rows.append([int(bucket[own[0]]), *(p[own].tobytes() for p in parts), _squeeze(blobs[at].tobytes())])
         kinds = [pa.int32()] + [pa.binary()] * 8
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names=["bucket", "anchor", "doc", "proof", "first", "left", "windows", "settled", "blob"])
 
@@ -245,7 +257,7 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
     """Repeated spans of the pieces in one bucket."""
     kinds = {"anchor": "u8", "doc": "i8", "proof": "i8", "first": "i8", "left": "i8", "windows": "i8", "settled": "u1"}
     p = {k: np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist()]) for k, kind in kinds.items()}
-    blob = np.concatenate([np.frombuffer(x, "u1") for x in table["blob"].to_pylist()])
+    blob = np.concatenate([np.frombuffer(_expand(x), "u1") for x in table["blob"].to_pylist()])
     note = p["settled"] == 2
     docs, proofs, starts, stops = [p["doc"][note]], [p["proof"][note]], [p["first"][note]], [(p["first"] + p["windows"])[note] + length - 1]
     size = np.where(note, 0, p["windows"] + length - 1)
