@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import components, lookup, stage
 
 #: Bytes of text that are hashed at once (a longer text makes a slice of its own), and bits of the frequency sketch.
-SLICE, BITS = 2_000_000, 20
+SLICE, BITS = 1_000_000, 20
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 2**64)
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)

@@ -8,14 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup, stage
 
-#: Words whose ids a worker keeps; beyond that the store is emptied, so its memory stays bounded.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps; beyond that only the short ones stay, which are the frequent ones, so its memory is bounded.
+KEPT_WORDS, SHORT = 300_000, 8
 #: Letters and numerals below U+0180 in lower case, as the tokenizer's splitting pattern sees them.
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿā-ž", "0-9²³¹¼-¾"
 _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
@@ -48,8 +49,6 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
         for at in range(0, len(words), 5000):
             some = words[at : at + 5000]
             ids = self._raw(" ".join(some))
@@ -62,16 +61,27 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.lower().split() if _PLAIN.fullmatch(t) else None for t in texts]
-        missing = set().union(*(w for w in split if w)).difference(self.known)
+        needed = set().union(*(w for w in split if w))
+        missing = needed.difference(self.known)
+        if len(self.known) + len(missing) > KEPT_WORDS:  # what these texts need stays, and short words while there is room
+            kept = {w: ids for w, ids in self.known.items() if len(w) <= SHORT or w in needed}
+            self.known = kept if len(kept) < KEPT_WORDS // 2 else {w: ids for w, ids in kept.items() if w in needed}
         if missing:
-            before = len(self.known)
             self._learn(list(missing))
-            if len(self.known) < before + len(missing):  # the store was emptied: the batch's other words are needed again
-                self._learn(list(set().union(*(w for w in split if w)).difference(self.known)))
         known = self.known
         return [b"".join([known[w] for w in words]) if words is not None else self._raw(text).tobytes() for words, text in zip(split, texts)]
 
 
+def groups(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch cut to slices of about ``limit`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long, ids binary"
 
 
@@ -80,10 +90,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: in
     part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
     for batch in batches:
         rows: list[list] = [[] for _ in range(8)]
-        ids = batch["doc_id"].to_pylist()
-        texts = [t or "" for t in batch["text"].to_pylist()]
-        for some in range(0, len(texts), 500):
-            for doc, blob in zip(ids[some : some + 500], words.encode(texts[some : some + 500])):
+        for some in groups(batch):
+            for doc, blob in zip(some["doc_id"].to_pylist(), words.encode([t or "" for t in some["text"].to_pylist()])):
                 blob += end
                 total = len(blob) // 4
                 for start in range(0, total, capacity):
