@@ -400,6 +400,41 @@ def test_lm_score(spark, docs, rows, empty):
     assert lm_score.lm_score(empty, path).count() == 0
 
 
+def test_id_pairs_are_counted_exactly_over_distinct_training_words(spark, docs, rows):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    encode = lm_score.encoder(path).encode_ordinary
+    ids = lambda w: [*lm_score.word_ids(w, encode).tolist(), lm_score.END]
+    learnt = {w for i, t, _ in rows if not held(i) for w in lm_score.split(t)}
+    pairs = Counter(p for w in learnt for p in zip(ids(w), ids(w)[1:]))
+    first = Counter(p for w in learnt for p in ids(w)[:-1])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 1, F.lit(True)).alias("learn"))
+    chunks = common.stage(texts.mapInArrow(lambda it: lm_score._chunks(it, 3000), "chunk long, docs binary"), "chunks")
+    asked, (_, _, _, befores, afters) = lm_score.counted(chunks, path, 6)
+    assert chunks.count() > 2 and befores.tolist() == [first[k] for k in range(lm_score.IDS)] and afters.sum() == befores.sum()
+    answers = defaultdict(dict)
+    for r in asked.where("fragment >= 64").collect():
+        answers[r["chunk"]][r["fragment"]] = r["counts"]
+    for r in chunks.collect():
+        words = lm_score.vocabulary(lm_score._read(r["docs"]))[0]
+        here = {p for w in words for p in zip(ids(w), ids(w)[1:])}
+        key = lambda p: int(lm_score.pair_key(np.array(p[:1]), np.array(p[1:]))[0])
+        assert len(set(map(key, here))) == len(here)
+        got = b"".join(n for _, n in sorted(answers[r["chunk"]].items()))
+        assert np.frombuffer(got, "i8").tolist() == [pairs[p] for p in sorted(here, key=key)]
+    m = {"pair_total": befores, "broad": (afters + 0.1) / (afters.sum() + 0.1 * lm_score.IDS)}
+    every = np.arange(lm_score.IDS)
+    for b in list(first)[:20]:
+        counts = np.array([pairs[b, a] for a in range(lm_score.IDS)])
+        assert math.isclose(lm_score.pair_odds(counts, np.full(lm_score.IDS, b), every, m).sum(), 1, rel_tol=1e-9)
+
+
+def test_lm_score_does_not_depend_on_the_chunks(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    few, many = (sorted((r["doc_id"] or 0, r["score"]) for r in lm_score.lm_score(docs, path, sample=30, chunk_bytes=size).collect()) for size in (10_000_000, 3000))
+    assert [i for i, _ in few] == [i for i, _ in many] and np.allclose([x for _, x in few], [x for _, x in many], rtol=1e-5)
+
+
 def test_windows_score_every_token_once():
     lengths = np.array([1, 31, 32, 33, 56, 57, 200])
     doc, first, skip = lm_score.windows_of(lengths)
