@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .ngram_join import _VALUE, _WORD, _power, slices
+from .ngram_join import _WORD, slices, word_hashes
 
 _KIND = {name: np.zeros(256, bool) for name in ("upper", "lower", "digit", "mark", "shout", "odd", "bar", "stop", "high")}
 _KIND["upper"][65:91] = True
@@ -35,7 +35,6 @@ def line_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         end = np.minimum(np.r_[start[1:], len(data)], len(data))
         doc = np.searchsorted(offsets, start, side="right") - 1
         sums = {}
-        up, down = _power(len(data))
         begin = _WORD[data]
         begin[1:] &= ~_WORD[data[:-1]]
         cuts = offsets[(offsets > 0) & (offsets < len(data))]
@@ -45,11 +44,9 @@ def line_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             np.cumsum(mask, out=c[1:])
             sums[name] = (c[end] - c[start]).astype("f8")
         keep = sums["solid"] > 0
-        prefix = np.zeros(len(data) + 1, "u8")
-        np.cumsum(_VALUE[data] * up[: len(data)], out=prefix[1:])
         # words that equal the word before them, by line
         first, last = np.flatnonzero(begin), np.flatnonzero(_WORD[data] & np.r_[~_WORD[data[1:]] | begin[1:], np.ones(min(1, len(data)), bool)]) + 1
-        name = (prefix[last] - prefix[first]) * down[first]
+        name = word_hashes(data, first, last)
         again = np.zeros(len(data) + 1, "i4")
         again[first[1:] + 1] = name[1:] == name[:-1]
         again = np.cumsum(again)
@@ -58,7 +55,7 @@ def line_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         sums = {k: v[keep] for k, v in sums.items()}
         # a line is repeated if an equal one stands in the same document
         stop = end - (data[end - 1] == 10) if len(end) else end
-        mark = (prefix[stop] - prefix[start]) * down[start]
+        mark = word_hashes(data, start, stop)
         order = np.lexsort((mark, doc))
         same = np.zeros(len(order), bool)
         if len(order) > 1:

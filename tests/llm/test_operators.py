@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,12 +122,48 @@ def test_jaccard_components(docs, rows, empty):
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = groups(len(sets), links)
     expected = Counter((rows[order[k]][0], len(sets[k]), rows[order[root[k]]][0]) for k in range(len(sets)))
-    for options in ({}, {"pairs_per_entry": 0, "broadcast_rows": 0, "fragment_rows": 50}):
+    for options in ({}, {"few": 1, "block_sets": 3, "broadcast_rows": 0, "fragment_rows": 50}):
         got = Counter(tuple(r) for r in ngram_join.jaccard_components(docs, **options).select("doc_id", "n_shingles", "component_id").collect())
         assert got == expected
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_components_of_groups_that_are_no_clique(spark):
+    """Copies that drift apart, copies without an id, and two sets of equal size that share most shingles but too few."""
+    rng = random.Random(12)
+    prose = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    data, line = [], prose(8)
+    for base in (prose(100), prose(160), prose(60)):
+        at = list(base)
+        for k in range(60):
+            if rng.random() < 0.3:
+                at = list(base)
+            at[rng.randrange(len(at))] = f"x{k}"
+            data.append(" ".join(at + line * (k % 2)))
+    rows = [(None if i % 17 == 0 else i, t) for i, t in enumerate(data)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, data)]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = groups(len(sets), links)
+    least = defaultdict(lambda: 10**9)
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least[r], 10**9 if i is None else i)
+    expected = Counter((i, least[r] if least[r] < 10**9 else i) for (i, _), r in zip(rows, root))
+    assert 3 < len(set(root)) < 170
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({}, {"few": 3, "block_sets": 5}, {"few": 1, "block_sets": 64, "fragment_rows": 20}):
+        got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df, **options).collect())
+        assert got == expected
+
+
+def test_word_hashes_tell_structured_words_apart():
+    thue = b"a"
+    for _ in range(10):
+        thue += thue.translate(bytes.maketrans(b"ab", b"ba"))
+    other = thue.translate(bytes.maketrans(b"ab", b"ba"))
+    one, two, again = (next(ngram_join.shingle_sets(pa.array([t.decode()]))) for t in (thue, other, thue.upper()))
+    assert one.tolist() != two.tolist() and one.tolist() == again.tolist()
+
+
 # --- 6
 
 
