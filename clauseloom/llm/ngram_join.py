@@ -250,19 +250,21 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int, fragments: int, hal
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], names=["node", "fragment", "segment"])
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame, chunk: int = 256) -> DataFrame:
+def overlaps(pairs: DataFrame, segments: DataFrame, chunk: int = 256, broadcast_rows: int = 500_000) -> DataFrame:
     """(a, b, na, nb, overlap): partial overlaps counted fragment by fragment and summed per pair.
 
     A set that is in very many pairs (over a thousandth of them, so at most 1,000 sets) is copied to several chunks of
-    its partners, so that none of the joins has a hot key.
+    its partners, so that none of the joins has a hot key. Up to ``broadcast_rows`` pairs go to the segments, which then
+    are shuffled once instead of twice.
     """
     total = pairs.count()
-    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(chunk, total // 1000)).select("a", F.ceil(F.col("c") / chunk).alias("chunks"))
-    hot = F.broadcast(stage(hot, "hot"))
-    many = F.coalesce("chunks", F.lit(1).cast("long"))
-    members = pairs.join(hot, "a", "left").withColumn("chunk", F.pmod(F.xxhash64("b"), many)).drop("chunks")
-    heads = segments.withColumnRenamed("node", "a").join(hot, "a", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("chunks").withColumnRenamed("segment", "other")
-    both = members.join(segments.withColumnRenamed("node", "b"), "b").join(heads, ["a", "chunk", "fragment"])
+    many = F.when(F.col("c") > max(chunk, total // 1000), F.ceil(F.col("c") / chunk)).otherwise(1).cast("long")
+    tops = stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", many.alias("chunks")), "tops")
+    members = lookup(pairs, tops, "a", broadcast_rows).withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks")).drop("chunks")
+    heads = lookup(segments.withColumnRenamed("node", "a"), tops, "a", broadcast_rows).where("chunks is not null")
+    heads = heads.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks").withColumnRenamed("segment", "other")
+    members = F.broadcast(members) if total <= broadcast_rows else members
+    both = segments.withColumnRenamed("node", "b").join(members, "b").join(heads, ["a", "chunk", "fragment"])
     return both.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("segment", "other"))).alias("overlap"))
 
 
@@ -435,14 +437,16 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
         picks = stage(reps.join(wanted, "node", "left_semi").select("doc_id").distinct(), "wanted-ids")
         picks = F.broadcast(picks) if picks.count() <= broadcast_rows else picks
         picked = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(picks, "doc_id", "left_semi")
-        new = stage(picked.mapInArrow(lambda it: _segments(it, width, 8, half), "node long, fragment int, segment array<long>").dropDuplicates(["node", "fragment"]), "segments")
+        new = stage(picked.mapInArrow(lambda it: _segments(it, width, 8, half), "node long, fragment int, segment array<long>"), "segments")
+        if new.groupBy("node", "fragment").agg(F.count(F.lit(1)).alias("c")).where("c > 1").take(1):  # ids that are repeated or missing
+            new = stage(new.dropDuplicates(["node", "fragment"]), "segments")
         some["have"], some["all"] = (wanted, new) if not some else (some["have"].unionByName(wanted), some["all"].unionByName(new))
         return some["all"]
 
     pairs = stage(met.where("a is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "pairs")
     links, labels = None, None
     if pairs.take(1):
-        found = overlaps(pairs, segments(pairs.select(F.explode(F.array("a", "b")).alias("node")))).where(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+        found = overlaps(pairs, segments(pairs.select(F.explode(F.array("a", "b")).alias("node"))), broadcast_rows=broadcast_rows).where(F.col("overlap") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
         links = stage(found.select("a", "b"), "found")
         labels = components(links)
     entries = met.where("token is not null").select("token", "node", "n", "pos")
