@@ -426,7 +426,7 @@ def test_lm_score(spark, docs, rows, empty):
     count = Counter(w for r, ws in zip(rows, words) if not held(r[0]) for w in ws)
     total, kinds = sum(count.values()), len(count)
     got = defaultdict(list)
-    for r in lm_score.lm_score(docs, path, sample=30).collect():
+    for r in lm_score.lm_score(docs, path, training={"steps": 60}).collect():
         got[r["doc_id"]].append(r)
     assert sum(map(len, got.values())) == len(rows)
     for (i, _, _), ws in zip(rows, words):
@@ -468,10 +468,36 @@ def test_id_pairs_are_counted_exactly_over_distinct_training_words(spark, docs,
 
 def test_lm_score_does_not_depend_on_the_chunks(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    few, many = (sorted((r["doc_id"] or 0, r["score"]) for r in lm_score.lm_score(docs, path, sample=30, chunk_bytes=size).collect()) for size in (10_000_000, 3000))
+    few, many = (sorted((r["doc_id"] or 0, r["score"]) for r in lm_score.lm_score(docs.repartition(parts), path, training={"steps": 60, "shard_windows": 40}, chunk_bytes=size).collect()) for size, parts in ((10_000_000, 3), (3000, 5)))
     assert [i for i, _ in few] == [i for i, _ in many] and np.allclose([x for _, x in few], [x for _, x in many], rtol=1e-5)
 
 
+def test_many_words_have_the_ids_of_each():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode, begins = lm_score.encoder(path).encode_ordinary, lm_score.start_ids(path)
+    words = sorted({w for t in texts() for w in lm_score.split(t)} | {"a\u00a0b".encode(), "\u3000x".encode(), "it's".encode(), "…".encode(), b"\x1c", b"<|endoftext|>", b"12,5%"})
+    pool, size = lm_score.many_word_ids(words, encode, begins)
+    assert [x.tolist() for x in np.split(pool, np.cumsum(size)[:-1])] == [lm_score.word_ids(w, encode).tolist() for w in words]
+    assert lm_score.many_word_ids([], encode, begins)[0].size == 0
+
+
+def test_model_gives_the_next_ids_a_distribution_in_every_window():
+    rng = np.random.default_rng(5)
+    model = lm_score.new_model() | {"O": rng.standard_normal((lm_score.WIDTH, lm_score.CLASSES)).astype("f4")}
+    classes = rng.integers(0, lm_score.CLASSES, lm_score.IDS)
+    many = np.bincount(classes, minlength=lm_score.CLASSES)
+    model |= {"classes": classes, "row": rng.integers(0, lm_score.OWN, lm_score.IDS), "within": -np.log(many[classes])}
+    head = rng.integers(0, lm_score.IDS, 41)
+    every = [np.r_[head, k] for k in range(0, lm_score.IDS, 1)]
+    total = sum(np.exp(lm_score.score_streams(lm_score.folded(model), every[k : k + 5000])[0].reshape(-1, 41)[:, -1]).sum() for k in range(0, len(every), 5000))
+    assert math.isclose(total, 1, rel_tol=1e-3)
+    for scale in (1, 20):  # with and without the maximum taken off
+        big = lm_score.folded(model | {"O": model["O"] * scale})
+        long = rng.integers(0, lm_score.IDS, 60)
+        z = lm_score.forward(model | {"O": model["O"] * scale}, big["row"][long[None, 16:48]])[0][0]
+        assert np.isclose(lm_score.score_streams(big, [long])[0][47], z[31, classes[long[48]]] + big["within"][long[48]], atol=1e-3)
+
+
 def test_windows_score_every_token_once():
     lengths = np.array([1, 31, 32, 33, 56, 57, 200])
     doc, first, skip = lm_score.windows_of(lengths)
