@@ -22,6 +22,26 @@ _VALUE = np.random.default_rng(23).integers(1, 2**63, 256, dtype="u8") * np.uint
 _PLACE = np.uint64(2**28 - 1)
 
 
+#: Bytes of one text that are laid out at once; a longer one is cut, with an overlap that keeps every window whole.
+PART = 1 << 22
+
+
+def parts(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """Slices of a string column as (first row, bytes, offsets, bytes of the row before them); every window lies in exactly one."""
+    for row, data, offsets in slices(texts):
+        if len(data) <= PART + length:
+            yield row, data, offsets, 0
+            continue
+        for start in range(0, len(data) - length + 1, PART):
+            own = data[start : start + PART + length - 1]
+            yield row, own, np.array([0, len(own)]), start
+
+
+def _spread(gram: np.ndarray) -> np.ndarray:
+    """Anchor hashes are the least of many: mixed once more they spread over fragments, bits and buckets evenly."""
+    return _mix(gram ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     """Over one slice of documents: (hash, place, first, last window start) of each anchor, and prefix sums for further hashes.
 
@@ -59,6 +79,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     return gram[at], at, first, last, sums, down
 
 
+#: Packed text is compressed once more before it is shuffled: pieces of one anchor overlap and repeat one another.
+_CODEC = "zstd"
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _expand(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec=_CODEC, asbytes=True)
+
+
 def _anchor_counts(batches: Iterator[pa.RecordBatch], length: int, fragments: int) -> Iterator[pa.RecordBatch]:
     shift = np.uint64(64 - fragments.bit_length() + 1)
     held, size = [], 0
@@ -70,8 +102,8 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch], length: int, fragments: in
         return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([hashes[cut[k] : cut[k + 1]].tobytes() for k in keep], pa.binary()), pa.array([n[cut[k] : cut[k + 1]].astype("u4").tobytes() for k in keep], pa.binary())], names=["fragment", "hashes", "counts"])
 
     for batch in batches:
-        for _, data, offsets in slices(batch["text"]):
-            h = anchors(data, offsets, length)[0]
+        for _, data, offsets, _ in parts(batch["text"], length):
+            h = _spread(anchors(data, offsets, length)[0])
             held.append(h)
             size += len(h)
             if size > 2_000_000:
@@ -93,28 +125,33 @@ def _repeated(table: pa.Table, bits: int, fragments: int) -> pa.Table:
     at = ((hashes[first][total > 1] >> np.uint64(64 - bits)) & np.uint64(2**own - 1)).astype(int)
     bitmap = np.zeros(max(8, 2**own), bool)
     bitmap[at] = True
-    return pa.table({"fragment": table["fragment"].slice(0, 1), "bitmap": pa.array([np.packbits(bitmap).tobytes()], pa.binary()), "n": pa.array([int(total[total > 1].sum())], pa.int64())})
-
+    return pa.table({"fragment": table["fragment"].slice(0, 1), "bitmap": pa.array([_squeeze(np.packbits(bitmap).tobytes())], pa.binary()), "n": pa.array([int(total[total > 1].sum())], pa.int64())})
 
-#: Packed text is compressed once more before it is shuffled: pieces of one anchor overlap and repeat one another.
-_CODEC = "zstd"
 
-
-def _squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
-
-
-def _expand(packed: bytes) -> bytes:
-    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec=_CODEC, asbytes=True)
+PIECES = "bucket int, anchor binary, doc binary, proof binary, first binary, left binary, windows binary, settled binary, blob binary"
 
 
-PIECES = "bucket int, anchor binary, doc binary, proof binary, first binary, left binary, windows binary, settled binary, blob binary"
+def _alike(data: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray, at: np.ndarray, step: int = 4_000_000) -> np.ndarray:
+    """Whether the pieces order[at] equal the ones before them in the order, byte by byte."""
+    out = np.zeros(len(at), bool)
+    x, y = order[at], order[at - 1]
+    fit = np.flatnonzero(size[x] == size[y])
+    ends = np.cumsum(size[x][fit])
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(step, ends[-1] + step, step)), len(fit)]) if len(fit) else []
+    for a, b in zip(cuts, cuts[1:]):
+        own = fit[a:b]
+        n = size[x][own]
+        begin = np.cumsum(n) - n
+        step_in = np.arange(n.sum()) - np.repeat(begin, n)
+        differ = data[np.repeat(first[x][own], n) + step_in] != data[np.repeat(first[y][own], n) + step_in]
+        out[own] = ~np.logical_or.reduceat(differ, begin)
+    return out
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, bitmap, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The text around every repeated anchor, packed by bucket: all bytes of the windows that have it.
 
-    Pieces equal within a slice are sent once; what is repeated there already needs no answer and is sent as settled.
+    Pieces equal byte by byte within a slice are sent once; what is repeated there already needs no answer and is sent as settled.
     """
     known = bitmap.value
     held: list[tuple] = []
@@ -139,8 +176,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, bitmap, bits: int, b
 
     for batch in batches:
         ids, proofs = batch["doc_id"].to_numpy(zero_copy_only=False), batch["proof"].to_numpy()
-        for row, data, offsets in slices(batch["text"]):
+        for row, data, offsets, shift in parts(batch["text"], length):
             gram, at, first, last, sums, down = anchors(data, offsets, length)
+            gram = _spread(gram)
             bit = gram >> np.uint64(64 - bits)
             keep = (known[(bit >> np.uint64(3)).astype(int)] >> (7 - (bit & np.uint64(7)).astype("u1"))) & 1 > 0
             gram, at, first, last = gram[keep], at[keep], first[keep], last[keep]
@@ -151,6 +189,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, bitmap, bits: int, b
             order = np.lexsort((content, gram))
             same = np.zeros(len(order), bool)
             same[1:] = (gram[order][1:] == gram[order][:-1]) & (content[order][1:] == content[order][:-1])
+            same[np.flatnonzero(same)] = _alike(data, first, end - first, order, np.flatnonzero(same))
             lead = order[~same]
             count = np.diff(np.r_[np.flatnonzero(~same), len(order)])
             double = np.zeros(len(order), bool)
@@ -162,7 +201,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, bitmap, bits: int, b
             n = end[lead] - first[lead]
             take = np.repeat(first[lead] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             d = doc[use]
-            held.append((gram[use], ids[row + d].astype("i8"), proofs[row + d].astype("i8"), first[use] - offsets[d], at[use] - first[use], last[use] - first[use] + 1, state, data[take]))
+            held.append((gram[use], ids[row + d].astype("i8"), proofs[row + d].astype("i8"), first[use] - offsets[d] + shift, at[use] - first[use], last[use] - first[use] + 1, state, data[take]))
             size += len(take) + 48 * len(use)
             if size > 24_000_000:
                 yield packed()
@@ -263,9 +302,12 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
     size = np.where(note, 0, p["windows"] + length - 1)
     offset = np.r_[0, np.cumsum(size)[:-1]]
     real = np.flatnonzero(~note)
-    real = real[np.argsort(p["anchor"][real], kind="stable")]
+    # a group: the same 48 bytes, not only the same hash of them
     a = p["anchor"][real]
-    new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    words = blob[(offset[real] + p["left"][real])[:, None] + np.arange(GRAM)].view("<u8") if len(real) else np.zeros((0, GRAM // 8), "<u8")
+    order = np.lexsort((*words.T, a))
+    real, a, words = real[order], a[order], words[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (words[1:] != words[:-1]).any(1)] if len(a) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1 if len(a) else np.zeros(0, bool)
     real, group = real[many], group[many]
@@ -289,14 +331,14 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(np.concatenate(docs), pa.int64()), "proof": pa.array(np.concatenate(proofs), pa.int64()), "start": pa.array(np.concatenate(starts), pa.int64()), "stop": pa.array(np.concatenate(stops), pa.int64())})
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24_000_000, bits: int = 27) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 24_000_000, bits: int | None = None, fragment_anchors: int = 2_000_000) -> DataFrame:
     """Every row with its repeated byte spans: doc_id, text, spans (ascending, disjoint (start, stop) in UTF-8 bytes).
 
     A byte is repeated if a string of ``length`` bytes that covers it also starts elsewhere in the table, in the same text
     or in another; overlaps count and matches stay within a text. Texts that stand in several rows are repeated whole where
     they have ``length`` bytes, and only one row of them goes on. Of the rest, all anchors (see ``anchors``) are counted in
-    fragments of the hash space. Those that occur twice set bits of a bitmap of fixed size; false alarms cost time, nothing
-    else. Around every such anchor the tasks, as shards, send their pieces to buckets, where ``refine`` merges them.
+    fragments of the hash space. Those that occur twice set bits of a bitmap whose size follows the bytes (up to 2**30 bits, 128 MB);
+    false alarms cost time, nothing else. Around every such anchor the tasks, as shards, send their pieces to buckets, where ``refine`` merges them.
 
     Null: an empty text. Texts under ``length`` bytes have no spans. Repeated rows are copies like any other. Other columns
     are ignored; an empty table gives no rows.
@@ -310,12 +352,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     first = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
     texts = known.where(enough & first).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "proof", "text")
 
-    fragments = 64
+    # about two anchors in every length - GRAM bytes
+    expected = 2 * (short.agg(F.sum("n_bytes")).first()[0] or 0) // max(1, length - GRAM) + 1
+    fragments = max(64, 2 ** math.ceil(math.log2(expected / fragment_anchors)))
+    bits = bits or min(30, max(20, math.ceil(math.log2(4 * expected))))
+    bits = max(bits, int(math.log2(fragments)) + 3)
     counted = texts.select("text").mapInArrow(lambda it: _anchor_counts(it, length, fragments), "fragment int, hashes binary, counts binary")
     found = counted.groupBy("fragment").applyInArrow(lambda t: _repeated(t, bits, fragments), "fragment int, bitmap binary, n long").collect()
     bitmap = np.zeros((fragments, 2**bits // fragments // 8), "u1")
     for r in found:
-        bitmap[r["fragment"]] = np.frombuffer(r["bitmap"], "u1")
+        bitmap[r["fragment"]] = np.frombuffer(_expand(r["bitmap"]), "u1")
     occurrences = sum(r["n"] for r in found)
     shared = spark.sparkContext.broadcast(bitmap.reshape(-1))
     buckets = max(12, math.ceil(occurrences * (length + 180) / bucket_bytes))

@@ -184,6 +184,49 @@ def test_repeated_spans(docs, rows, empty, length):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def test_spans_of_very_long_texts_cut_into_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = noise(900)
+    texts_ = [noise(3000) + passage + noise(2500), passage + noise(700) + passage[:500], noise(2000)]
+    raw = [t.encode() for t in texts_]
+    cut = [list(suffix_dedup.parts(pa.array([t]), 100)) for t in texts_]
+    assert [len(c) for c in cut] == [1, 1, 1]
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    monkeypatch.setattr(suffix_dedup, "slices", lambda a, limit=1: ngram_join.slices(a, 1))
+    for t, b in zip(texts_, raw):
+        starts = [shift + k for _, data, offsets, shift in suffix_dedup.parts(pa.array([t]), 100) for k in range(len(data) - 99)]
+        assert starts == list(range(len(b) - 99))
+        for _, data, offsets, shift in suffix_dedup.parts(pa.array([t]), 100):
+            gram, at, first, last, _, _ = suffix_dedup.anchors(data, offsets, 100)
+            assert first[0] == 0 and last[-1] == len(data) - 100 and (first[1:] == last[:-1] + 1).all()
+            assert (at >= last).all() and (at + suffix_dedup.GRAM <= first + 100).all()  # the anchor lies in every window
+
+
+def test_pieces_of_one_hash_are_compared_by_their_bytes():
+    data = np.frombuffer(b"abcdXabcdYabcdXabce", "u1")
+    first, size = np.array([0, 10, 5, 14]), np.array([5, 5, 5, 5])
+    assert suffix_dedup._alike(data, first, size, np.array([0, 1, 2, 3]), np.array([1, 2, 3])).tolist() == [True, False, False]
+    assert suffix_dedup._alike(data, first, size, np.array([0, 1, 2, 3]), np.array([1, 2, 3]), step=5).tolist() == [True, False, False]
+
+
+def test_suffix_query_equals_brute_force(spark, tmp_path, docs, rows):
+    """The five columns of the query, over a table of its own."""
+    docs.select("doc_id", "text", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    raw = [(i, (t or "").encode()) for i, t, _ in rows]
+    seen = Counter(b[s : s + 400] for _, b in raw for s in range(len(b) - 399))
+    expected = Counter()
+    for i, b in raw:
+        cover = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if seen[b[s : s + 400]] > 1:
+                cover[s : s + 400] = b"\x01" * 400
+        kept = bytes(x for x, c in zip(b, cover) if not c)
+        expected[(i, len(b), sum(cover), len(re.findall(b"\x01+", bytes(cover))), hashlib.sha256(kept).hexdigest())] += 1
+    got = Counter(tuple(r) for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == expected and sum(k[2] > 0 for k in got) > 3
+
+
 # --- 5
 
 
