@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from .common import components, lookup, stage
 
 
-#: How far guests go, in standard deviations of a random difference along one direction; the square root of the number of
-#: dimensions would make the search exact. At 3, recall on the test tables is 1.
+#: How far guests go, in standard deviations of a difference along the line between two centres.
 REACH = 3.0
 
 
@@ -38,7 +37,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     centres = units[np.random.default_rng(seed).permutation(len(units))[:k]].copy()
     for _ in range(rounds):
-        home = (units @ centres.T).argmax(1)
+        home = np.concatenate([(units[a : a + 2048] @ centres.T).argmax(1) for a in range(0, len(units), 2048)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, units)
         norms = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -46,15 +45,46 @@ def spherical_kmeans(units: np.ndarray, k: int, rounds: int = 8, seed: int = 5)
     return centres
 
 
-def _cells(batches: Iterator[pa.RecordBatch], centres, threshold: float) -> Iterator[pa.RecordBatch]:
+def spreads(sample: np.ndarray, threshold: float, pairs: int = 50, step: int = 512) -> list[np.ndarray]:
+    """Covariances by which differences of partners may spread over directions, each of trace 1: that of the sample, and that of
+    the differences of partners within it, where it holds ``pairs`` of them at least."""
+    centred = sample - sample.mean(0)
+    found = [centred.T @ centred]
+    total, n = np.zeros_like(found[0]), 0
+    for at in range(0, len(sample), step):
+        i, j = np.nonzero(sample[at : at + step] @ sample.T >= threshold)
+        keep = at + i < j
+        d = sample[at + i[keep]] - sample[j[keep]]
+        d /= np.sqrt((d * d).sum(1, keepdims=True)) + 1e-12  # every pair counts alike, however close
+        total, n = total + d.T @ d, n + len(d)
+    if n >= pairs:
+        found.append(total)
+    return [m / np.trace(m) for m in found if np.trace(m) > 1e-12]
+
+
+def _reaches(centres: np.ndarray, covariances: list[np.ndarray], threshold: float, reach: float | None) -> np.ndarray:
+    """How far from the plane between centres i and h a vector may lie to be a guest: at most the length of a difference at the
+    threshold, which misses nothing; else ``reach`` standard deviations of its part along the centres' difference."""
+    longest = math.sqrt(max(0.0, 2 - 2 * threshold))
+    share = np.zeros((len(centres), len(centres)))
+    for m in covariances:
+        own = np.einsum("id,de,ie->i", centres, m, centres, optimize=True)
+        along = own[:, None] + own[None] - 2 * centres @ m @ centres.T
+        share = np.maximum(share, along / np.maximum(2 - 2 * (centres @ centres.T), 1e-18))
+    if reach is None or not covariances:
+        share[:] = 1
+    else:
+        share = np.minimum(1, reach * np.sqrt(np.maximum(share, 0)))
+    return share * longest + 1e-9
+
+
+def _cells(batches: Iterator[pa.RecordBatch], centres) -> Iterator[pa.RecordBatch]:
     """Each vector to its own cell and, as a guest, to each other cell that may hold a partner of it.
 
     If x lies in cell i and y in cell h, the plane halfway between the centres parts them, and y is no further from that
-    plane than the part of x - y that is square to it. Of a difference at the threshold, sqrt(2 - 2 * threshold) long and
-    spread over the dimensions at random, that part stays below REACH standard deviations for nearly all pairs.
+    plane than the part of x - y that is square to it (see ``_reaches``).
     """
-    c = centres.value
-    reach = min(1.0, REACH / math.sqrt(max(1, c.shape[1]))) * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    c, reaches = centres.value
     if len(c):
         far = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-18))
     for batch in batches:
@@ -68,7 +98,7 @@ def _cells(batches: Iterator[pa.RecordBatch], centres, threshold: float) -> Iter
             home = s.argmax(1)
             margin = (s[np.arange(len(some)), home][:, None] - s) / far[home]
             margin[np.arange(len(some)), home] = -1
-            r, i = np.nonzero(margin <= reach)
+            r, i = np.nonzero(margin <= reaches[home])
             out_row.append(some[r])
             out_cell.append(np.where(i == home[r], i, -1 - i))
         odd = np.flatnonzero(dims != c.shape[1]) if len(c) else np.arange(len(dims))
@@ -108,12 +138,13 @@ def _compare(threshold: float, step: int = 512):
     return block
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = 2500, sample_rows: int = 8192, block_rows: int = 2048, guest_rows: int = 8192) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = 2500, sample_rows: int = 8192, most_cells: int = 8192, block_rows: int = 2048, guest_rows: int = 8192, reach: float | None = REACH) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Equal vectors are collapsed first and counted. Centres of about one cell per ``cell_rows`` vectors are fitted on at
-    most ``sample_rows`` of them (so at most an eighth as many cells); every vector goes to its cell and, as a guest, to
-    each cell from which a partner is likely to come (see REACH); pairs are then judged by their exact cosine. A cell is
+    Equal vectors are collapsed first and counted. Centres of about one cell per ``cell_rows`` vectors (``most_cells`` at most)
+    are fitted on a sample of ``sample_rows``, or of eight for each cell; every vector goes to its cell and, as a guest, to
+    each cell from which a partner is likely to come: ``reach`` standard deviations of a difference, by the sample's own
+    spread, and with ``reach`` None as far as any partner can lie, which makes the search exact. Pairs are then judged by their exact cosine. A cell is
     compared block by block, each pair
     of blocks a task of its own that returns counts and one label per vector instead of pairs, so neither a hot cell nor
     a large group of copies meets in one task.
@@ -126,13 +157,15 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = stage(raw.mapInArrow(_units, "vec_id long, key binary, unit binary, dim int"), "units")
     groups = stage(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("unit").alias("unit"), F.min("dim").alias("dim")), "vectors")
     dim = groups.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    centres = np.zeros((0, 0))
+    centres = reaches = np.zeros((0, 0))
     if dim is not None:
-        some = groups.where(F.col("dim") == dim[0]).orderBy(F.xxhash64("key"), "key").limit(sample_rows).select("unit").collect()
+        cells = max(1, min(dim[1] // cell_rows, most_cells))
+        some = groups.where(F.col("dim") == dim[0]).orderBy(F.xxhash64("key"), "key").limit(max(sample_rows, 8 * cells)).select("unit").collect()
         sample = np.frombuffer(b"".join(bytes(r[0]) for r in some)).reshape(len(some), -1)
-        centres = spherical_kmeans(sample, max(1, min(dim[1] // cell_rows, max(1, len(some) // 8))))
-    shared = spark.sparkContext.broadcast(centres)
-    cells = stage(groups.mapInArrow(lambda it: _cells(it, shared, threshold), "cell long, own boolean, rep long, n long, unit binary"), "cells")
+        centres = spherical_kmeans(sample, max(1, min(cells, len(some) // 8)))
+        reaches = _reaches(centres, spreads(sample[:sample_rows], threshold), threshold, reach)
+    shared = spark.sparkContext.broadcast((centres, reaches))
+    cells = stage(groups.mapInArrow(lambda it: _cells(it, shared), "cell long, own boolean, rep long, n long, unit binary"), "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("own") / block_rows).alias("own_blocks"), F.ceil(F.count(F.lit(1)) / guest_rows).alias("blocks"))
     placed = cells.join(F.broadcast(stage(sizes.where("own_blocks > 0"), "sizes")), "cell")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -391,6 +391,29 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["low", "axis", "spread"])
+def test_no_link_is_lost_between_cells(spark, kind):
+    """Vectors in a subspace, near copies that differ along one axis that also parts the cells, and even ones: several cells."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1500, 6 if kind == "low" else 24))
+    move = rng.standard_normal(base.shape) * 0.2
+    if kind == "axis":
+        base[:, 0] *= 6
+        move = np.zeros_like(base)
+        move[:, 0] = 0.3 * np.sqrt((base * base).sum(1)) * rng.choice([-1, 1], len(base))
+    both = np.concatenate([base, base + move])
+    unit = both / np.sqrt((both * both).sum(1, keepdims=True))
+    if kind == "low":
+        unit = np.c_[unit, np.zeros((len(unit), 18))]
+    cosine = unit @ unit.T
+    links = (cosine >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    for reach in (embedding_dedup.REACH, None):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df, cell_rows=150, reach=reach).collect()}
+        found = sum(got.values())
+        assert (links.sum() == found if reach is None else found >= 0.999 * links.sum()) and links.sum() > 1000
+
+
 # --- 10 and 3
 
 
