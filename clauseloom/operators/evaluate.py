@@ -38,3 +38,31 @@ def accuracy(scores: DataFrame, least: int = 2) -> DataFrame:
     """By task: mean score of yes and of no rows as sums and counts, and how many rows a score of ``least`` tells right."""
     right = (F.col("score") >= least) == F.col("label")
     return scores.groupBy("task").agg(F.sum(F.when(F.col("label"), F.col("score")).otherwise(0)).alias("yes_sum"), F.count_if("label").alias("yes_n"), F.sum(F.when(~F.col("label"), F.col("score")).otherwise(0)).alias("no_sum"), F.count_if(~F.col("label")).alias("no_n"), F.count_if(right).alias("right_n"))
+
+
+#: Words of a question, and what in the clause text speaks for yes.
+QUESTIONS = {
+    "pii": ["data_protection", "compliance"],
+    "data breach": ["data_protection", "compliance"],
+    "dispute": ["dispute_resolution"],
+    "confidential": ["confidentiality"],
+    "choice of law": ["governing_law"],
+    "governing": ["governing_law"],
+    "indemnif": ["indemnity", "indemnification"],
+}
+
+
+def question_answers(rows: DataFrame) -> DataFrame:
+    """Adds ``predicted``: yes if for a word of the question the text holds that word or one of its clause types."""
+    ask, told = F.lower("question"), F.lower("text")
+    hits = []
+    for word, kinds in QUESTIONS.items():
+        names = [word, *kinds, *(k.replace("_", " ") for k in kinds)]
+        inside = F.lit(False)
+        for n in names:
+            inside = inside | F.contains(told, F.lit(n))
+        hits.append(F.contains(ask, F.lit(word)) & inside)
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return rows.withColumn("predicted", F.when(out, "yes").otherwise("no"))

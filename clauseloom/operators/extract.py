@@ -104,15 +104,21 @@ def bindings(docs: DataFrame) -> DataFrame:
 
 
 def resolve_chain(bound: DataFrame, hops: int = 5) -> DataFrame:
-    """(doc_id, term, meaning, hops): follow a meaning that is itself a term, at most ``hops`` times, never twice through one."""
-    step = bound.select("doc_id", F.lower("term").alias("key"), F.col("resolves_to").alias("next"))
-    out = bound.select("doc_id", "term", F.col("resolves_to").alias("meaning"), F.array(F.lower("term")).alias("seen"), F.lit(1).alias("hops"))
-    for _ in range(hops - 1):
-        at = F.lower("meaning")
-        out = out.withColumn("key", F.when(~F.array_contains("seen", at), at)).join(step, ["doc_id", "key"], "left")
-        moved = F.col("next").isNotNull()
-        out = out.select("doc_id", "term", F.coalesce("next", "meaning").alias("meaning"), F.when(moved, F.array_append("seen", F.col("key"))).otherwise(F.col("seen")).alias("seen"), (F.col("hops") + moved.cast("int")).alias("hops"))
-    return out.drop("seen")
+    """(doc_id, term, meaning, hops): follow a meaning that is itself a term, at most ``hops`` times, never twice through one.
+
+    A document's bindings form one map, which is followed inside the row: no join."""
+    key = F.lower("term")
+    held = bound.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "resolves_to"))).alias("known"), F.collect_list(F.struct("term", "resolves_to")).alias("all"))
+    rows = held.select("doc_id", "known", F.explode("all").alias("x"))
+    start = F.struct(F.col("x.resolves_to").alias("meaning"), F.array(F.lower("x.term")).alias("seen"), F.lit(1).alias("hops"))
+
+    def step(at, _):
+        low = F.lower(at["meaning"])
+        following = F.when(~F.array_contains(at["seen"], low), F.try_element_at("known", low))
+        return F.when(following.isNull(), at).otherwise(F.struct(following.alias("meaning"), F.array_append(at["seen"], low).alias("seen"), (at["hops"] + 1).alias("hops")))
+
+    out = rows.select("doc_id", "x.term", F.aggregate(F.sequence(F.lit(2), F.lit(hops)), start, step).alias("end"))
+    return out.select("doc_id", "term", "end.meaning", "end.hops")
 
 
 def clauses(paragraphs: DataFrame) -> DataFrame:
@@ -139,6 +145,26 @@ def clause_texts(paragraphs: DataFrame, clauses: DataFrame) -> DataFrame:
     return own.select("doc_id", "ordinal", "heading", "clause_type", "section_number", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def fallback_headings(paragraphs: DataFrame, bold=None) -> DataFrame:
+    """Adds ``level``: 1 for bold lines that look like headings, capitals and numbered lines, in documents without any styled
+    heading; the style's own level in the others. ``bold``: a boolean column, false by default."""
+    t = F.trim("text")
+    styled = R.style_level(F.col("style"))
+    any_styled = F.bool_or(styled.isNotNull()).over(Window.partitionBy("doc_id"))
+    found = (F.coalesce(bold, F.lit(False)) if bold is not None else F.lit(False)) & R.looks_like_heading(t) | R.allcaps_heading(t) | R.numbered_heading(t)
+    return paragraphs.withColumn("any", any_styled).withColumn("level", F.when(F.col("any"), styled).when((t != "") & found, 1)).drop("any")
+
+
+def chained_clauses(paragraphs: DataFrame) -> DataFrame:
+    """``clauses`` after the whole chain: where the styled headings of a document tell nothing, section starts are first split out
+    of its long paragraphs, and both kinds of structural headings count."""
+    told = clauses(paragraphs.where(R.style_level(F.col("style")).isNotNull())).groupBy("doc_id").agg(F.bool_or(F.col("clause_type") != "general").alias("told"))
+    known = paragraphs.join(told, "doc_id", "left").withColumn("told", F.coalesce("told", F.lit(False)))
+    split = split_sections(known.where("not told")).join(paragraphs.select("doc_id", "idx", F.col("style").alias("own")), ["doc_id", "idx"])
+    split = split.select("doc_id", (F.col("idx") * 1000 + F.coalesce("seq", F.lit(999))).alias("idx"), "text", F.when(F.col("seq").isNull(), F.col("own")).alias("style"))
+    return clauses(known.where("told").select("doc_id", (F.col("idx") * 1000 + 999).alias("idx"), "text", "style").unionByName(split))
+
+
 def cross_references(texts: DataFrame, window: int = 80) -> DataFrame:
     """References in clause texts with type, effect and context; resolved by section number, the last clause of a number winning."""
     found = texts.select("doc_id", "ordinal", "text", F.posexplode(P.find_spans(F.col("text"), P.SECTION, (1,))).alias("n", "m"))

@@ -63,6 +63,80 @@ def obligations(replies: DataFrame) -> DataFrame:
     return replies.where("reply is not null").select("doc_id", *map(count, ("affirmative", "negative", "conditional")))
 
 
+ANSWER = "answer string, answer_type string, confidence double, facts_referenced array<string>"
+
+
+def answers(replies: DataFrame) -> DataFrame:
+    """(query_id, answer, answer_type, confidence) of (query_id, has_facts, error, reply): an unknown type is an inference; without
+    facts and after an error the row says so, with confidence 0."""
+    failed, none = F.col("error").isNotNull(), ~F.col("has_facts")
+    kind = F.when(F.col("reply.answer_type").isin("fact", "inference", "not_found", "opinion"), F.col("reply.answer_type")).otherwise("inference")
+    text = F.when(failed, F.concat(F.lit("Error during reasoning: "), "error")).when(none, "No facts found for the given documents.").otherwise(F.coalesce("reply.answer", F.lit("Unable to determine answer.")))
+    return replies.select("query_id", text.alias("answer"), F.when(failed | none, "not_found").otherwise(kind).alias("answer_type"), F.when(failed | none, 0.0).otherwise(F.col("reply.confidence")).alias("confidence"))
+
+
+DISCOVERY = "discovered_facts array<struct<type:string,claim:string,evidence:string,risk_level:string,explanation:string>>, summary string"
+
+
+def discovered(replies: DataFrame) -> DataFrame:
+    """(doc_id, n, fact_type, claim, risk_level): the facts a reply found that claim something; type and risk have defaults."""
+    rows = replies.select("doc_id", F.posexplode("reply.discovered_facts").alias("n", "d")).where("d.claim <> ''")
+    return rows.select("doc_id", "n", F.coalesce("d.type", F.lit("hidden_fact")).alias("fact_type"), "d.claim", F.coalesce("d.risk_level", F.lit("medium")).alias("risk_level"))
+
+
+MEMO = "overall_risk_rating string, key_risks array<struct<category:string,risk:string,severity:bigint>>, missing_protections array<string>"
+
+
+def memo_risks(replies: DataFrame) -> DataFrame:
+    """(doc_id, n, category, severity, detail) of risk memos: category and severity have defaults, details are cut at 120."""
+    rows = replies.select("doc_id", F.posexplode("reply.key_risks").alias("n", "r"))
+    return rows.select("doc_id", "n", F.coalesce("r.category", F.lit("Risk")).alias("category"), F.coalesce("r.severity", F.lit(3)).alias("severity"), F.left(F.coalesce("r.risk", F.lit("")), F.lit(120)).alias("detail"))
+
+
+def memo_summaries(replies: DataFrame) -> DataFrame:
+    """(doc_id, rating, risks, missing, missing_shown): rating in capitals, N/A without one; the first five missing protections."""
+    missing = F.coalesce("reply.missing_protections", F.array().cast("array<string>"))
+    return replies.select("doc_id", F.upper(F.coalesce("reply.overall_risk_rating", F.lit("N/A"))).alias("rating"), F.coalesce(F.size("reply.key_risks"), F.lit(0)).alias("risks"), F.size(missing).alias("missing"), F.array_join(F.slice(missing, 1, 5), ", ").alias("missing_shown"))
+
+
+DIFFERENCES = "differences array<struct<aspect:string,contract_1:string,contract_2:string,significance:string,risk_implication:string>>"
+
+
+def differences(replies: DataFrame, most: int = 10) -> DataFrame:
+    """(left_id, right_id, n, aspect, contract_1, contract_2, significance): a comparison's first ``most`` differences."""
+    rows = replies.select("left_id", "right_id", F.posexplode(F.slice("reply.differences", 1, most)).alias("n", "d"))
+    return rows.select("left_id", "right_id", "n", "d.aspect", "d.contract_1", "d.contract_2", F.coalesce("d.significance", F.lit("medium")).alias("significance"))
+
+
+def prompts(facts: DataFrame, limit: int = 60, cut: int = 100) -> DataFrame:
+    """(doc_id, prompt): a document's first ``limit`` facts (fact_id, fact_type, value, ordinal), one a line, values cut."""
+    first = facts.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("k") <= limit)
+    line = F.concat(F.lit("- ["), "fact_id", F.lit("] ("), "fact_type", F.lit(') "'), F.left("value", F.lit(cut)), F.lit('"'))
+    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def ranking_scores(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """Per query: precision, recall, F1, reciprocal rank, average precision and NDCG of the first ``k`` of (query_id, rank,
+    relevant); ``relevant`` has (query_id, total). Their means over the queries are P@k, R@k, F1@k, MRR, MAP and NDCG@k."""
+    seen = F.sum(F.col("relevant").cast("int")).over(Window.partitionBy("query_id").orderBy("rank"))
+    rows = found.where(F.col("rank") <= k).withColumn("seen", seen).groupBy("query_id").agg(
+        F.count_if("relevant").alias("hits"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"),
+        F.sum(F.when(F.col("relevant"), F.col("seen") / F.col("rank")).otherwise(0.0)).alias("gain"),
+        F.sum(F.when(F.col("relevant"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("total"))).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    both = relevant.join(rows, "query_id", "left").na.fill(0, ["hits", "gain", "dcg"])
+    p, r = F.col("hits") / k, F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0)
+    return both.select("query_id", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), F.when(F.col("total") > 0, F.col("gain") / F.least(F.col("total"), F.lit(k))).otherwise(0.0).alias("average_precision"), F.when(F.col("total") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
+
+
+def calibration_error(rows: DataFrame) -> DataFrame:
+    """By tenth of confidence (0 to 1): rows, mean confidence, share that is right, and the gap between the two."""
+    by = rows.groupBy(F.least(F.floor(F.col("confidence") * 10), F.lit(9)).alias("bucket"))
+    out = by.agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg(F.col("right").cast("double")).alias("accuracy"))
+    return out.withColumn("error", F.abs(F.col("confidence") - F.col("accuracy")))
+
+
 def ranking_measures(found: DataFrame, k: int) -> DataFrame:
     """Per query over (query_id, rank, relevant): hits in the first k, the first hit's rank, and DCG of the first k."""
     top = F.col("rank") <= k
@@ -82,3 +156,10 @@ def family(edges: DataFrame, hops: int = 6) -> DataFrame:
         front = front.join(edges, front["doc_id"] == edges["parent"]).select("root", F.col("child").alias("doc_id"), F.lit(d).alias("depth"))
         out = out.unionByName(front)
     return out.groupBy("root", "doc_id").agg(F.min("depth").alias("depth"))
+
+
+def term_history(rows: DataFrame) -> DataFrame:
+    """(family, doc_id, term, place): of (family, doc_id, term, since) in order of time the documents in which the term changes."""
+    w = Window.partitionBy("family").orderBy("since", "doc_id")
+    out = rows.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag("term").over(w))
+    return out.where(~F.col("before").eqNullSafe(F.col("term"))).select("family", "doc_id", "term", "place")

@@ -12,13 +12,12 @@ from ..streaming import incremental as I
 from . import oracle as O
 from .queries import SQL, _texts, query
 
-#: Facts of the patterns that never overlap one another, in order of the text.
-FACTS = "facts AS (SELECT doc_id, char_start, char_start + size AS char_end, rank, match AS value, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, rank) - 1 AS ordinal FROM (" + " UNION ALL ".join(O.spans(r) for r in range(2, 7)) + "))"
+#: Facts of all patterns, in order, overlaps dropped.
+FACTS = O.KEPT + ", facts AS MATERIALIZED (SELECT doc_id, s.start AS char_start, s.stop AS char_end, s.rank AS rank, s.pattern AS pattern, s.value AS value, ordinal FROM kept_spans)"
 
 
 def facts(spark, d):
-    rows = C.corpus(spark, d).select("doc_id", F.posexplode(F.array_sort(F.concat(*[P._spans_of(F.col("text"), *P.PATTERNS[r]).cast(f"array<{P.SPAN}>") for r in range(2, 7)]))).alias("ordinal", "s"))
-    return rows.select("doc_id", "ordinal", F.col("s.start").alias("char_start"), F.col("s.stop").alias("char_end"), "s.rank", "s.value", "s.pattern")
+    return extract.spans(C.corpus(spark, d)).select("doc_id", "ordinal", "char_start", "char_end", "rank", "value", "pattern")
 
 
 @query(f"WITH {O.CLAUSES} SELECT c.doc_id, 'contract ' || c.doc_id AS title, CAST(len(list_filter(string_split_regex(c.text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count, CAST(coalesce(k.n, 0) AS BIGINT) AS clause_count, 'indexed' AS status FROM corpus c LEFT JOIN (SELECT doc_id, count(*) AS n FROM clauses GROUP BY doc_id) k USING (doc_id)")
@@ -109,7 +108,7 @@ def g5_references_by_clause(spark, d):
 
 @query("SELECT user_id, max(ts)::DATE::VARCHAR AS last_day, CAST(count(*) AS BIGINT) AS sessions FROM events GROUP BY user_id")
 def g11_workspaces_by_access(spark, d):
-    return C.tables(spark, d, "events")[0].groupBy("user_id").agg(F.max("ts").cast("date").cast("string").alias("last_day"), F.count(F.lit(1)).alias("sessions")).orderBy(F.desc("last_day"), "user_id")
+    return C.tables(spark, d, "events")[0].groupBy("user_id").agg(F.max("ts").cast("date").cast("string").alias("last_day"), F.count(F.lit(1)).alias("sessions"))
 
 
 @query(f"WITH {O.CORPUS}, {O.BINDINGS} SELECT doc_id, 'b:' || lower(term) AS source, 't:' || lower(resolves_to) AS target, 'resolves' AS relationship FROM bindings")
@@ -140,10 +139,10 @@ def i7_index_counts(spark, d):
     return rows.join(gone, "vec_id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {O.CORPUS}, {FACTS}, {O.BINDINGS}, x AS (SELECT doc_id, 0 AS a, 0 AS b, term || ' = ' || resolves_to AS line FROM bindings UNION ALL SELECT doc_id, 1, ordinal + 1, value FROM facts WHERE ordinal < 3)
+@query(f"""WITH {O.CORPUS}, {FACTS}, {O.BINDINGS}, x AS (SELECT doc_id, 0 AS a, 0 AS b, term || ' = ' || resolves_to AS line FROM bindings UNION ALL SELECT doc_id, 1, ordinal + 1, value FROM facts WHERE ordinal < 80)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY a, b, line) AS context FROM x GROUP BY doc_id""")
 def i8_question_context(spark, d):
-    return qa.context(extract.bindings(C.corpus(spark, d)), facts(spark, d).select("doc_id", "ordinal", "value"), 3)
+    return qa.context(extract.bindings(C.corpus(spark, d)), facts(spark, d).select("doc_id", "ordinal", "value"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS session_id, o_orderdate AS started_at, o_orderstatus, l_partkey AS doc_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey),

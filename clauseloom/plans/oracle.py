@@ -49,6 +49,25 @@ def spans(rank: int, source: str = "corpus") -> str:
     FROM (SELECT *, unnest(range(1, len(m0) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, {r}) AS gap, {extra} FROM {source}))"""
 
 
+def _all_spans() -> str:
+    parts = []
+    for rank, (name, _, _, group) in enumerate(P.PATTERNS):
+        skip = "length(regexp_extract(match, '^[\\s&.,]*', 0))" if rank in (7, 8) else "0"
+        value = "substring(match, " + skip + " + 1)" if rank in (7, 8) else "match" if group == 0 else "trim(g1)" if rank == 1 else "g1"
+        a, b = {0: ("g1", "trim(g2)"), 1: ("trim(g1)", "NULL"), 2: ("g1", "NULL"), 3: ("g1", "g2"), 7: ("trim(g1)", "trim(g2)"), 8: ("trim(g1)", "trim(g2)")}.get(rank, ("NULL", "NULL"))
+        row = "SELECT doc_id, struct_pack(start := char_start + %s, stop := char_start + size, rank := %d, n := %s, pattern := '%s', value := %s, a := CAST(%s AS VARCHAR), b := CAST(%s AS VARCHAR)) AS s FROM (%s)"
+        parts.append(row % (skip, rank, "2 * n" if rank == 1 else "n", name, value, a, b, spans(rank)))
+        if rank == 1:
+            parts.append(row % ("0", 1, "2 * n + 1", name, "trim(g2)", "trim(g2)", "NULL", spans(rank)) + " WHERE coalesce(trim(g2), '') <> ''")
+    return " UNION ALL ".join(parts)
+
+
+#: All spans of all patterns, and those that are left when the overlaps are dropped, one span after the other.
+KEPT = f"""every_span AS MATERIALIZED (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s.start, s.rank, s.n) AS k FROM ({_all_spans()})),
+fold(doc_id, k, kept) AS (SELECT doc_id, k, [s] FROM every_span WHERE k = 1 UNION ALL
+  SELECT f.doc_id, o.k, CASE WHEN o.s.start < f.kept[-1].stop AND o.s.pattern = f.kept[-1].pattern THEN CASE WHEN o.s.stop - o.s.start > f.kept[-1].stop - f.kept[-1].start THEN list_append(f.kept[1:len(f.kept) - 1], o.s) ELSE f.kept END ELSE list_append(f.kept, o.s) END
+  FROM fold f JOIN every_span o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+kept_spans AS MATERIALIZED (SELECT doc_id, CAST(i - 1 AS BIGINT) AS ordinal, kept[i] AS s FROM (SELECT doc_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, arg_max(kept, k) AS kept FROM fold GROUP BY doc_id)))"""
 ALIASES = f"""found AS ({spans(7)} UNION ALL {spans(8)}), aliases AS (
   SELECT doc_id, trim(g2) AS alias, trim(g1) AS entity, char_start, rank FROM found WHERE trim(g1) <> '' AND trim(g2) <> ''
   QUALIFY row_number() OVER (PARTITION BY doc_id, lower(trim(g2)) ORDER BY rank, char_start) = 1)"""
@@ -71,7 +90,7 @@ _type = case([(f"contains(lower(target_reference), '{w}')", kind) for w, kind in
 XREFS = f"""{TEXTS}, keyed AS (SELECT doc_id * 100 + ordinal AS doc_id, text FROM texts), refs AS ({spans(2, 'keyed')}),
 raw AS (SELECT t.doc_id, t.ordinal, s.n, s.match AS target_reference, s.g1 AS number, {_context} AS context FROM refs s JOIN texts t ON s.doc_id = t.doc_id * 100 + t.ordinal),
 targets AS (SELECT doc_id, section_number AS number, max(ordinal) AS target_ordinal FROM texts WHERE section_number IS NOT NULL GROUP BY ALL),
-xrefs AS (SELECT r.doc_id, r.ordinal, r.n, target_reference, {_type} AS reference_type, {_effect} AS effect, trim(context) AS context, target_ordinal, target_ordinal IS NOT NULL AS resolved FROM raw r LEFT JOIN targets USING (doc_id, number))"""
+xrefs AS (SELECT r.doc_id, r.ordinal, r.n, number, target_reference, {_type} AS reference_type, {_effect} AS effect, trim(context) AS context, target_ordinal, target_ordinal IS NOT NULL AS resolved FROM raw r LEFT JOIN targets USING (doc_id, number))"""
 
 _specs = ", ".join(f"('{t}', '{s}', {str(r).lower()}, [{', '.join(quote(k) for k in extract.KEYWORDS[s])}])" for t, s, r in extract.REGISTRY)
 _told = f"""len(list_filter(keywords, lambda k: contains(lower(text), k))) > 0

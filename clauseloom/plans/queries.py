@@ -21,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: _longs(f(spark, sf_dir))
         if sql:
-            SQL[key] = sql
+            SQL[key] = sql.replace("WITH", "WITH RECURSIVE", 1) if "fold(" in sql else sql
         return f
 
     return add
@@ -126,7 +126,7 @@ def b11_all_patterns(spark, d):
     return rows.groupBy(F.col("s.rank").alias("rank")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+@query(f"WITH {O.CORPUS}, {O.KEPT} SELECT doc_id, ordinal, s.pattern, s.value, s.start AS char_start, s.stop AS char_end, s.a, s.b, CAST(s.rank AS BIGINT) AS rank FROM kept_spans")
 def b12_patterns_without_overlaps(spark, d):
     return extract.spans(C.corpus(spark, d))
 
@@ -167,7 +167,11 @@ def c15_clause_text(spark, d):
 # --- facts and bindings
 
 
-@query()
+_kind = "CASE s.pattern " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in extract.FACT_TYPES.items()) + " END"
+
+
+@query(f"""WITH {O.CORPUS}, {O.KEPT} SELECT doc_id, 'f-' || left(sha256(concat_ws('|', doc_id, s.pattern, s.start, s.stop, ordinal)), 16) AS fact_id, ordinal, {_kind} AS fact_type, CASE WHEN s.pattern = 'entity_alias' THEN 'party' END AS entity_type,
+s.value, s.start AS char_start, s.stop AS char_end, 'body > pattern[' || s.pattern || ']' AS structural_path FROM kept_spans""")
 def d1_pattern_facts(spark, d):
     return extract.pattern_facts(C.corpus(spark, d))
 
@@ -190,7 +194,7 @@ def d7_bindings(spark, d):
 _hop = "SELECT c.doc_id, c.term, coalesce(b.resolves_to, c.meaning) AS meaning, CASE WHEN b.doc_id IS NULL THEN c.seen ELSE list_append(c.seen, lower(c.meaning)) END AS seen, c.hops + CASE WHEN b.doc_id IS NULL THEN 0 ELSE 1 END AS hops FROM {p} c LEFT JOIN bindings b ON b.doc_id = c.doc_id AND lower(b.term) = lower(c.meaning) AND NOT list_contains(c.seen, lower(c.meaning))"
 
 
-@query(f"WITH {O.CORPUS}, {O.BINDINGS}, h1 AS (SELECT doc_id, term, resolves_to AS meaning, [lower(term)] AS seen, CAST(1 AS BIGINT) AS hops FROM bindings), " + ", ".join(f"h{k} AS ({_hop.format(p=f'h{k - 1}')})" for k in range(2, 6)) + " SELECT doc_id, term, meaning, hops FROM h5")
+@query(f"WITH {O.CORPUS}, {O.BINDINGS.replace('bindings AS (', 'bindings AS MATERIALIZED (')}, h1 AS (SELECT doc_id, term, resolves_to AS meaning, [lower(term)] AS seen, CAST(1 AS BIGINT) AS hops FROM bindings), " + ", ".join(f"h{k} AS ({_hop.format(p=f'h{k - 1}')})" for k in range(2, 6)) + " SELECT doc_id, term, meaning, hops FROM h5")
 def d9_term_chain(spark, d):
     return extract.resolve_chain(extract.bindings(C.corpus(spark, d)))
 
@@ -243,7 +247,7 @@ def g6_contract_list(spark, d):
     docs = C.corpus(spark, d)
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     out = docs.select("doc_id", F.col("signed").cast("string").alias("signed")).join(count(extract.clauses(C.paragraphs(docs)), "clauses"), "doc_id", "left").join(count(extract.bindings(docs), "bindings"), "doc_id", "left")
-    return out.na.fill(0, ["clauses", "bindings"]).orderBy(F.desc("signed"), "doc_id")
+    return out.na.fill(0, ["clauses", "bindings"])
 
 
 @query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS BIGINT) AS rank FROM events QUALIFY rank <= 20")
@@ -298,9 +302,17 @@ def i1_chunks(spark, d):
     return retrieval.clause_chunks(extract.clauses(C.paragraphs(docs))).unionByName(retrieval.binding_chunks(extract.bindings(docs)))
 
 
-@query()
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '\W+'), lambda w: w <> '')) AS word FROM conversations),
+p AS (SELECT conv_id, turn, CAST('0x' || left(md5(word), 8) AS BIGINT) % 768 AS place FROM w), s AS (SELECT conv_id, turn, place % 384 AS spot, CAST(sum(CASE WHEN place < 384 THEN 1 ELSE -1 END) AS BIGINT) AS x FROM p GROUP BY ALL),
+g AS (SELECT conv_id, turn, string_agg(spot || ':' || x, ',' ORDER BY spot) AS dims, CAST(sum(x * x) AS BIGINT) AS squares FROM s WHERE x <> 0 GROUP BY ALL)
+SELECT c.conv_id, c.turn, coalesce(dims, '') AS dims, coalesce(squares, 0) AS squares, squares IS NOT NULL AS unit FROM conversations c LEFT JOIN g USING (conv_id, turn)""")
 def i2_hash_embedding(spark, d):
-    return C.tables(spark, d, "conversations")[0].select("conv_id", "turn", retrieval.hash_embedding(F.col("text")).alias("v"))
+    rows = retrieval.hash_embedding(C.tables(spark, d, "conversations")[0].select("conv_id", "turn", "text"))
+    full = F.filter(F.transform("raw", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+    dims = F.array_join(F.transform(full, lambda e: F.concat(e["i"], F.lit(":"), e["x"])), ",")
+    squares = F.aggregate("raw", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    return rows.select("conv_id", "turn", dims.alias("dims"), squares.alias("squares"), (F.abs(length - 1) < 1e-9).alias("unit"))
 
 
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 4) AS score
@@ -407,7 +419,7 @@ def n1_n3_keyword_accuracy(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 5 = 1 THEN 'gone' WHEN doc_id % 5 = 2 THEN 'changed' ELSE 'same' END AS status, CASE WHEN doc_id % 5 = 2 THEN sha256(text) END AS previous_hash FROM documents")
 def p1_content_changes(spark, d):
-    rows = C.tables(spark, d, "documents")[0].where("text is not null")
+    rows = C.tables(spark, d, "documents")[0]
     old = rows.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("hash"))
     new = rows.where("doc_id % 5 <> 1").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
     return I.content_changes(old, new)
