@@ -53,7 +53,8 @@ def merge_runs(rows: DataFrame, keep: str = "largest", ways: int = 8, run_rows:
     Every partition first folds its own sorted run. Then, in k-nomial rounds, ``ways`` partitions at a time exchange runs:
     in round r the partitions whose slot numbers differ only in digit r swap rows by digit r of the digest, sort-merge what
     they receive and fold it, so every level keeps the verified smallest (or largest) identifier. After the last round a
-    slot holds one part of the digest space. No task ever sees more than its part, and copies shrink at each level.
+    slot holds one part of the digest space. No task ever sees more than its part, and copies shrink at each level. A slot is
+    a partition, and the runs that meet in one are merged by Spark's sort.
     """
     n, levels = rows.count(), 1
     while ways**levels * run_rows < n or levels < 2:
@@ -68,7 +69,7 @@ def merge_runs(rows: DataFrame, keep: str = "largest", ways: int = 8, run_rows:
     for level in range(levels):
         step = F.lit(ways**level)
         slot = F.col("slot") + (_digit(head, ways, level) - _digit(F.col("slot"), ways, level)) * step
-        run = run.withColumn("slot", slot.cast("long")).repartition(ways**levels, "slot").sortWithinPartitions(*order).mapInArrow(fold, RUN)
+        run = run.withColumn("slot", slot.cast("long")).repartitionById(ways**levels, F.col("slot").cast("int")).sortWithinPartitions(*order).mapInArrow(fold, RUN)
     return run.select("digest", "n_bytes", "proof", F.when(F.col("keep_id") != missing, F.col("keep_id")).alias("keep_id"), "group_size")
 
 

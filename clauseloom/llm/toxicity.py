@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
+from .embedding_dedup import spherical_kmeans
 from .quality import held_out
 
-#: Which labelled toxic documents also count for a narrower category. The last category is the label itself.
-CATEGORIES = {
-    "insult": ["clown", "idiot", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "pathetic", "scum", "trash", "worthless"],
-    "toxic": [],
-}
+#: The chain's categories: kinds of toxic texts that the labelled ones themselves show, then the label.
+CATEGORIES = ["kind_1", "kind_2", "toxic"]
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose weights a worker keeps; beyond that the store is emptied.
 KEPT_WORDS = 500_000
@@ -78,12 +75,46 @@ def _raw(x: Sparse, extra: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return x.dot(theta[: x.width]) + extra @ theta[x.width : -1] + theta[-1]
 
 
+def kinds_of(sets: list[set[str]], toxic: np.ndarray, many: int, kept: int = 500, least: int = 8) -> list[np.ndarray]:
+    """Narrower categories that come from the data: the toxic training texts clustered by the features they hold more often than
+    others do, by spherical k-means. Fewer than ``least`` toxic texts: no text is of any kind."""
+    none = [np.zeros(len(sets), int) for _ in range(many)]
+    rude = np.flatnonzero(toxic)
+    whole, within = Counter(), Counter()
+    for i, s in enumerate(sets):
+        own = {f for w in s for f in features(w)}
+        whole.update(own)
+        if toxic[i]:
+            within.update(own)
+    share = len(rude) / max(1, len(sets))
+    gap = {f: (c - whole[f] * share) / np.sqrt(whole[f] * share + 0.5) for f, c in within.items() if c >= 2}
+    index = {f: k for k, f in enumerate(sorted((f for f in gap if gap[f] > 2), key=lambda f: (-gap[f], f))[:kept])}
+    if len(rude) < least or not index:
+        return none
+    x = np.zeros((len(rude), len(index)))
+    for r, i in enumerate(rude):
+        for w in sets[i]:
+            for f in features(w):
+                if f in index:
+                    x[r, index[f]] = 1
+    x /= np.sqrt(x.sum(0)) + 1e-12  # common features tell less of the kind
+    norms = np.sqrt((x * x).sum(1, keepdims=True))
+    held = norms[:, 0] > 0
+    x = x[held] / norms[held]
+    if len(x) < many:
+        return none
+    home = (x @ spherical_kmeans(x, many).T).argmax(1)
+    for k in range(many):
+        none[k][rude[held][home == k]] = 1
+    return none
+
+
 def fit_chain(docs: list[list[str]], toxic: np.ndarray, folds: int = 5, kept: int = 2000) -> dict:
     """The chain's models. Each category after the first sees the earlier ones' probabilities, predicted for a training row
     by models that were fitted on the other folds, so that they look in training as they will on new texts."""
-    names = list(CATEGORIES)
+    names = CATEGORIES
     sets = [set(d) for d in docs]
-    y = np.array([[int(t and (not CATEGORIES[c] or any(w in s for w in CATEGORIES[c]))) for c in names] for s, t in zip(sets, toxic)]).reshape(-1, len(names))
+    y = np.stack([*kinds_of(sets, toxic, len(names) - 1), toxic], 1).reshape(-1, len(names))
     whole, within = Counter(), [Counter() for _ in names]
     for s, labels in zip(sets, y):
         own = {f for w in s for f in features(w)}
@@ -166,8 +197,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_co
     known = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     order = (F.xxhash64("doc_id"), "doc_id")
     some = stage(known.where("label = 1").orderBy(*order).limit(sample // 2).unionByName(known.where("label = 0").orderBy(*order).limit(sample - sample // 2)), "sample")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").select("label", "text")
-    rows = rows.mapInArrow(_gather, "label int, words array<string>").limit(sample).collect()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.max("text").alias("text")).select("label", "text")  # one row of an id
+    rows = rows.mapInArrow(_gather, "label int, words array<string>").collect()
     rows = sorted(((r["words"], r["label"]) for r in rows), key=lambda r: (r[1], r[0]))
     fold = np.random.default_rng(3).permutation(len(rows))
     return fit_chain([rows[i][0] for i in fold], np.array([rows[i][1] for i in fold], int))
@@ -179,7 +211,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     Null, empty and wordless texts get the chain's base rates. Repeated rows score alike; a null id stays null; other
     columns are ignored; an empty table gives no rows.
     """
-    names = list(CATEGORIES)
+    names = CATEGORIES
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _score(it, shared, names), "doc_id long, " + ", ".join(f"p_{n} double" for n in names))
