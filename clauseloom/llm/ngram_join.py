@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, stage
+from .common import components, give_back, lookup, stage, tidy
 
 #: Bytes of text that are hashed at once (a longer text makes a slice of its own), and least bits of the frequency sketch.
 SLICE, BITS = 1_000_000, 20
@@ -227,6 +227,7 @@ def _shared(table: pa.Table, percent: int, sketch, bits: int, hot: int, few: int
     e = np.flatnonzero(large)
     none, no = pa.nulls(len(e)).cast(pa.int64()), pa.nulls(len(left)).cast(pa.int64())
     both = lambda x, y: pa.chunked_array([pa.array(x, pa.int64()) if isinstance(x, np.ndarray) else x, pa.array(y, pa.int64()) if isinstance(y, np.ndarray) else y])
+    give_back()
     columns = [both(node[left], none), both(node[right], none), both(n[left], none), both(n[right], none), both(no, token[e].view("i8")), both(no, node[e]), both(no, n[e]), both(no, pos[e])]
     return pa.table(columns, names=[x.split()[0] for x in SHARED.split(", ")])
 
@@ -286,9 +287,11 @@ PARTIAL = "a long, b long, left_nodes binary, left_sizes binary, right_nodes bin
 
 def _partial(batches: Iterator[pa.RecordBatch], step: int = 4096) -> Iterator[pa.RecordBatch]:
     """Overlaps of two blocks within one fragment, counted as a product of incidence matrices over the shingles both hold."""
+    fields = [x.split() for x in PARTIAL.split(", ")]
+    schema = pa.schema([(k, pa.int64() if kind == "long" else pa.binary()) for k, kind in fields])
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
+        for n in range(batch.num_rows):
+            r = batch.slice(n, 1).to_pylist()[0]
             values, rows = [], []
             for side in ("left", "right"):
                 packed, lengths = r[f"{side}_segments"], np.frombuffer(r[f"{side}_lengths"], "<i8")
@@ -313,10 +316,8 @@ def _partial(batches: Iterator[pa.RecordBatch], step: int = 4096) -> Iterator[pa
                     held[place[x:y] - first, at[x:y]] = 1
                     pair.append(held)
                 counts += pair[0].T @ pair[1]
-            out.append({"a": r["a"], "b": r["b"], **{f"{side}_{k}": r[f"{side}_{k}"] for side in ("left", "right") for k in ("nodes", "sizes")}, "counts": pa.compress(counts.astype("<u4").tobytes(), codec="zstd", asbytes=True)})
-        if out:
-            fields = [x.split() for x in PARTIAL.split(", ")]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(k, pa.int64() if kind == "long" else pa.binary()) for k, kind in fields]))
+            made = {"a": r["a"], "b": r["b"], **{f"{side}_{k}": r[f"{side}_{k}"] for side in ("left", "right") for k in ("nodes", "sizes")}, "counts": pa.compress(counts.astype("<u4").tobytes(), codec="zstd", asbytes=True)}
+            yield pa.RecordBatch.from_pylist([made], schema=schema)
 
 
 def _linked(table: pa.Table, percent: int) -> pa.Table:
@@ -384,7 +385,7 @@ def block_links(entries: DataFrame, segments, labels: DataFrame | None, percent:
     packed = stage(packed.groupBy("block", "fragment").applyInArrow(_block, BLOCK), "blocks")
     names = ("nodes", "sizes", "lengths", "segments")
     sides = [packed.select(F.col("block").alias(k), "fragment", *[F.col(c).alias(f"{name}_{c}") for c in names]) for k, name in (("a", "left"), ("b", "right"))]
-    partial = met.join(sides[0], "a").join(sides[1], ["b", "fragment"]).select("a", "b", *[f"{name}_{c}" for name in ("left", "right") for c in names]).mapInArrow(_partial, PARTIAL)
+    partial = met.join(sides[0], "a").join(sides[1], ["b", "fragment"]).select("a", "b", *[f"{name}_{c}" for name in ("left", "right") for c in names]).mapInArrow(tidy(_partial), PARTIAL)
     return stage(partial.groupBy("a", "b").applyInArrow(lambda t: _linked(t, percent), "a long, b long"), "block-links")
 
 
@@ -406,7 +407,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = min(24, max(BITS, math.ceil(math.log2(max(1, texts.count()))) + 2))
-    first = stage(texts.mapInArrow(lambda it: _sets(it, width, bits), "doc_id long, n long, node binary, part int, counts binary"), "sets")
+    first = stage(texts.mapInArrow(tidy(lambda it: _sets(it, width, bits)), "doc_id long, n long, node binary, part int, counts binary"), "sets")
     sets = first.where("part is null").select("doc_id", "n", "node")
     parts = first.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(lambda p: _add_sketches(p, bits), "part int, counts binary").collect()
     sketch = np.zeros((64, (1 << bits) // 64), "u4")
@@ -426,7 +427,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     total = nodes.agg(F.sum("n")).first()[0] or 0
     fragments = max(64, total * (100 - percent) // 100 // fragment_rows)
     hot = max(1000, fragment_rows)
-    packed = texts.mapInArrow(lambda it: _prefixes(it, width, percent, shared, bits, fragments, hot, half), "fragment long, token binary, node binary, pos binary, n binary")
+    packed = texts.mapInArrow(tidy(lambda it: _prefixes(it, width, percent, shared, bits, fragments, hot, half)), "fragment long, token binary, node binary, pos binary, n binary")
     met = stage(packed.groupBy("fragment").applyInArrow(lambda t: _shared(t, percent, shared, bits, hot, few), SHARED), "shared")
     reps = named.select(F.col("id").alias("node"), F.coalesce("rep", F.lit(-(2**63))).alias("doc_id"))
     some: dict[str, DataFrame] = {}
@@ -437,7 +438,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
         picks = stage(reps.join(wanted, "node", "left_semi").select("doc_id").distinct(), "wanted-ids")
         picks = F.broadcast(picks) if picks.count() <= broadcast_rows else picks
         picked = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(picks, "doc_id", "left_semi")
-        new = stage(picked.mapInArrow(lambda it: _segments(it, width, 8, half), "node long, fragment int, segment array<long>"), "segments")
+        new = stage(picked.mapInArrow(tidy(lambda it: _segments(it, width, 8, half)), "node long, fragment int, segment array<long>"), "segments")
         if new.groupBy("node", "fragment").agg(F.count(F.lit(1)).alias("c")).where("c > 1").take(1):  # ids that are repeated or missing
             new = stage(new.dropDuplicates(["node", "fragment"]), "segments")
         some["have"], some["all"] = (wanted, new) if not some else (some["have"].unionByName(wanted), some["all"].unionByName(new))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, stage
+from .common import lookup, stage, tidy
 
 #: Words whose ids a worker keeps; beyond that only the short ones stay, which are the frequent ones, so its memory is bounded.
 KEPT_WORDS, SHORT = 300_000, 8
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stage(rows.mapInArrow(lambda it: _cut(it, tokenizer, capacity, end_id, with_ids), PIECE), "pieces")
+    pieces = stage(rows.mapInArrow(tidy(lambda it: _cut(it, tokenizer, capacity, end_id, with_ids)), PIECE), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     bases = counts.select(F.struct("length", "part").alias("place"), (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"), "n")
     bases = stage(bases, "bases")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, tidy
 from .ngram_join import _WORD, slices, word_hashes
 
 _KIND = {name: np.zeros(256, bool) for name in ("upper", "lower", "digit", "mark", "shout", "odd", "bar", "stop", "high")}
@@ -168,8 +168,10 @@ def _gather(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[pa.Record
     for batch in batches:
         out = []
         for counts, length, x in line_features(batch["text"]):
-            cut = np.cumsum(counts)[:-1]
-            out += [np.c_[n, f].astype("f4").tobytes() if len(n) <= lines else None for n, f in zip(np.split(length, cut), np.split(x, cut))]
+            begin = np.cumsum(counts) - counts
+            # of a longer text a window of lines, from a place that its number of lines decides
+            begin = begin + np.where(counts > lines, counts.astype("u8") * np.uint64(2654435761) % np.maximum(counts - lines + 1, 1).astype("u8"), 0).astype(int)
+            out += [np.c_[length[a:b], x[a:b]].astype("f4").tobytes() for a, b in zip(begin, begin + np.minimum(counts, lines))]
         yield pa.RecordBatch.from_arrays([batch["label"], pa.array(out, pa.binary())], names=["label", "lines"])
 
 
@@ -178,7 +180,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, lines: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """The model, fitted on at most ``sample`` labelled documents of at most ``lines`` lines, none of them held out.
+    """The model, fitted on at most ``sample`` labelled documents, none of them held out; of those of more than ``lines`` lines
+    on a window of so many.
 
     Which ones goes by a hash of the id; their line features, not their texts, reach the driver. Labels other than 0 and 1
     and null ids are passed over; several labels of one document count as the largest.
@@ -186,8 +189,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, lines:
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     some = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").select("label", "text")
-    rows = rows.mapInArrow(lambda it: _gather(it, lines), "label int, lines binary").where("lines is not null").limit(sample).collect()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.max("text").alias("text")).select("label", "text")  # one row of an id
+    rows = rows.mapInArrow(tidy(lambda it: _gather(it, lines)), "label int, lines binary").collect()
     parts = [np.frombuffer(r["lines"], "f4").reshape(-1, WIDTH + 1) for r in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i]["label"], bytes(rows[i]["lines"])))  # the order of arrival must not matter
     if not parts:
@@ -205,7 +209,7 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, shared), "doc_id long, score double")
+    return rows.mapInArrow(tidy(lambda it: _score(it, shared)), "doc_id long, score double")
 
 
 THRESHOLD = 0.3
