@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.llm import exact_dedup, mixing, ngram_join, packing, quality
-from clauseloom.llm.common import lookup, shared_dir, stage as staged
+from clauseloom.llm.common import lookup, shared_dir, stage as staged, tidy
 
 #: The columns of the documents table, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,7 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     shared = spark.sparkContext.broadcast(quality.train_quality(docs, labels))
     rows = docs.select(*COLUMNS)
-    return rows.mapInArrow(lambda it: _accepted(it, shared), rows.schema)
+    return rows.mapInArrow(tidy(lambda it: _accepted(it, shared)), rows.schema)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
