@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, lm_score, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, conversation_repair, embedding_dedup, exact_dedup, lm_score, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_substring_dedup": substring_dedup.op12_substring_dedup,
 }
 SQL = {"op2_chat_format": chat_format.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op12_substring_dedup": substring_dedup.OP12_SQL}
