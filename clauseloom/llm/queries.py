@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, conversation_repair, embedding_dedup, exact_dedup, lm_score, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, conversation_repair, embedding_dedup, exact_dedup, lm_score, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 SQL = {"op2_chat_format": chat_format.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op12_substring_dedup": substring_dedup.OP12_SQL}
