@@ -155,14 +155,40 @@ def fallback_headings(paragraphs: DataFrame, bold=None) -> DataFrame:
     return paragraphs.withColumn("any", any_styled).withColumn("level", F.when(F.col("any"), styled).when((t != "") & found, 1)).drop("any")
 
 
+def heading_candidates(paragraphs: DataFrame, least: int = 80) -> DataFrame:
+    """(doc_id, idx, seq, heading, clause_type, section_number, candidate): every row that may begin a clause, in one scan.
+
+    ``candidate``: ``styled`` by its own style, ``promoted`` by its structure, or ``split`` out of a long paragraph (seq counts
+    these before their paragraph's own row, whose seq is null). A split start that is no structural heading keeps
+    ``heading`` null: it makes no clause, but its document has been split.
+    """
+    t = F.trim("text")
+    found = F.when(F.length(t) >= least, P.find_spans(t, SECTION_START, (1, 2)))
+    split = F.transform(F.coalesce(found, F.array()), lambda m, i: F.struct(i.cast("int").alias("seq"), F.concat(m["g1"], F.lit(". "), F.trim(m["g2"])).alias("heading"), F.lit("split").alias("candidate")))
+    own = F.struct(F.lit(None).cast("int").alias("seq"), t.alias("heading"), F.when(R.style_level(F.col("style")).isNotNull(), "styled").when(R.structural_heading(t), "promoted").alias("candidate"))
+    rows = paragraphs.select("doc_id", "idx", F.explode(F.concat(split, F.array(own))).alias("x")).select("doc_id", "idx", "x.*")
+    rows = rows.where("heading <> '' and candidate is not null").withColumn("heading", F.when((F.col("candidate") != "split") | R.structural_heading(F.col("heading")), F.col("heading")))
+    return rows.withColumn("clause_type", F.when(F.col("heading").isNotNull(), R.classify_heading(F.col("heading")))).withColumn("section_number", R.section_number(F.col("heading")))
+
+
 def chained_clauses(paragraphs: DataFrame) -> DataFrame:
-    """``clauses`` after the whole chain: where the styled headings of a document tell nothing, section starts are first split out
-    of its long paragraphs, and both kinds of structural headings count."""
-    told = clauses(paragraphs.where(R.style_level(F.col("style")).isNotNull())).groupBy("doc_id").agg(F.bool_or(F.col("clause_type") != "general").alias("told"))
-    known = paragraphs.join(told, "doc_id", "left").withColumn("told", F.coalesce("told", F.lit(False)))
-    split = split_sections(known.where("not told")).join(paragraphs.select("doc_id", "idx", F.col("style").alias("own")), ["doc_id", "idx"])
-    split = split.select("doc_id", (F.col("idx") * 1000 + F.coalesce("seq", F.lit(999))).alias("idx"), "text", F.when(F.col("seq").isNull(), F.col("own")).alias("style"))
-    return clauses(known.where("told").select("doc_id", (F.col("idx") * 1000 + 999).alias("idx"), "text", "style").unionByName(split))
+    """(doc_id, idx, seq, ordinal, heading, clause_type, section_number, promoted, outcome): each document's clauses after the
+    whole chain of fallbacks.
+
+    Three lists of headings stand side by side: the styled ones; all after section starts were split out of long paragraphs;
+    and the unsplit ones with structural headings promoted. A list tells something if any of its types is not general. The
+    outcome is the first that does, in this order, splitting only where it found a start; if none does, the styled headings
+    where there are any, else the promoted ones (``rest``). One window over a document's headings decides.
+    """
+    w = Window.partitionBy("doc_id")
+    kind = F.col("candidate")
+    tells = lambda *kinds: F.coalesce(F.bool_or(kind.isin(*kinds) & (F.col("clause_type") != "general")).over(w), F.lit(False))
+    rows = heading_candidates(paragraphs).select("*", F.bool_or(kind == "split").over(w).alias("was_split"), F.bool_or(kind == "styled").over(w).alias("any_styled"), tells("styled").alias("one"), tells("styled", "promoted", "split").alias("two"), tells("styled", "promoted").alias("three"))
+    outcome = F.when(F.col("one"), "styled").when(F.col("was_split") & F.col("two"), "split").when(F.col("three"), "promoted").otherwise("rest")
+    rows = rows.withColumn("outcome", outcome).where("heading is not null")
+    kept = (kind == "styled") | (kind == "promoted") & (F.col("outcome").isin("split", "promoted") | (F.col("outcome") == "rest") & ~F.col("any_styled")) | (kind == "split") & (F.col("outcome") == "split")
+    ordinal = F.row_number().over(w.orderBy("idx", F.col("seq").asc_nulls_last())) - 1
+    return rows.where(kept).select("doc_id", "idx", "seq", ordinal.alias("ordinal"), "heading", "clause_type", "section_number", (kind != "styled").alias("promoted"), "outcome")
 
 
 def cross_references(texts: DataFrame, window: int = 80) -> DataFrame:

@@ -79,9 +79,30 @@ def c5_fallback_headings(spark, d):
     return extract.fallback_headings(p, F.col("idx") % 5 == 4).select("doc_id", "idx", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
-@query(f"WITH {O.CLAUSES} SELECT doc_id, ordinal, heading, clause_type, promoted FROM clauses")
+#: Contracts of every kind that the fallback chain tells apart, from the corpus: as they are; in one block; one block whose only
+#: start has no type; a structural heading without a type, in styled and unstyled texts; and the last two beside a typed one.
+_variants = """CASE doc_id % 8 WHEN 0 THEN replace(text, chr(10), '  ') WHEN 1 THEN concat('A preamble of some length stands here. 1. ZEBRA MATTERS  and ', replace(text, '. ', ' '), ' the end')
+WHEN 2 THEN concat('1. ZEBRA MATTERS', chr(10), 'and nothing else is said in this text') WHEN 3 THEN concat('1. ZEBRA MATTERS', chr(10), 'TERM AND TERMINATION', chr(10), 'Nothing else.')
+WHEN 4 THEN concat('A preamble that is long enough to be split, as all blocks of this length are. 1. ZEBRA MATTERS  and more', chr(10), 'TERM AND TERMINATION', chr(10), 'Nothing else.') WHEN 5 THEN concat('1. ZEBRA MATTERS', chr(10), 'ALL CAPITALS OF NO KIND', chr(10), 'Nothing else.')
+ELSE text END"""
+_kept_kind = f"CASE WHEN seq IS NOT NULL THEN 'split' WHEN styled AND regexp_matches(text, {O.NUMBERED}) THEN 'styled' WHEN regexp_matches(text, {O.NUMBERED}) AND length(text) < 80 OR regexp_matches(text, {O.CAPS}) AND len(string_split_regex(text, '\\s+')) <= 8 THEN 'promoted' END"
+_start = extract.SECTION_START.replace("'", "''")
+
+
+@query(f"""WITH {O.CORPUS}, v AS (SELECT doc_id, doc_id % 16 IN (2, 3, 5) OR doc_id % 8 >= 6 AND styled AS styled, {_variants} AS text FROM corpus), lines AS (SELECT doc_id, styled, string_split(text, chr(10)) AS l FROM v),
+paras AS (SELECT doc_id, styled, unnest(l) AS text, unnest(range(len(l))) AS idx FROM lines),
+starts AS (SELECT doc_id, idx, regexp_extract_all(text, '{_start}', 1) AS a, regexp_extract_all(text, '{_start}', 2) AS b FROM paras WHERE length(trim(text)) >= 80),
+every AS (SELECT doc_id, styled, idx, NULL AS seq, text FROM paras UNION ALL SELECT doc_id, false, idx, i, a[i] || '. ' || trim(b[i]) FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM starts)),
+known AS (SELECT doc_id, idx, seq, text, {_kept_kind} AS candidate, CASE WHEN seq IS NULL OR length(text) < 80 THEN {O.HEADING} END AS clause_type FROM every),
+listed AS (SELECT 'styled' AS outcome, 1 AS place, * FROM known WHERE candidate = 'styled' UNION ALL SELECT 'split', 2, * FROM known WHERE candidate IS NOT NULL AND doc_id IN (SELECT doc_id FROM known WHERE candidate = 'split')
+  UNION ALL SELECT 'promoted', 3, * FROM known WHERE candidate IN ('styled', 'promoted')),
+chosen AS (SELECT doc_id, arg_min(outcome, place) AS outcome FROM listed WHERE clause_type <> 'general' GROUP BY doc_id),
+rest AS (SELECT doc_id, CASE WHEN bool_or(outcome = 'styled') THEN 'styled' ELSE 'promoted' END AS outcome FROM listed WHERE doc_id NOT IN (SELECT doc_id FROM chosen) GROUP BY doc_id),
+picked AS (SELECT l.*, 'rest' AS named FROM listed l JOIN rest USING (doc_id, outcome) UNION ALL SELECT l.*, l.outcome FROM listed l JOIN chosen USING (doc_id, outcome))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx, seq NULLS LAST) - 1 AS BIGINT) AS ordinal, text AS heading, clause_type, candidate <> 'styled' AS promoted, named AS outcome FROM picked WHERE clause_type IS NOT NULL""")
 def c14_fallback_chain(spark, d):
-    return extract.chained_clauses(C.paragraphs(C.corpus(spark, d))).select("doc_id", "ordinal", "heading", "clause_type", "promoted")
+    docs = C.corpus(spark, d).select("doc_id", F.expr("doc_id % 16 IN (2, 3, 5) OR doc_id % 8 >= 6 AND styled").alias("styled"), F.expr(_variants).alias("text"))
+    return extract.chained_clauses(C.paragraphs(docs)).select("doc_id", "ordinal", "heading", "clause_type", "promoted", "outcome")
 
 
 @query(f"""WITH {NEAR}, hit AS (SELECT query_id, own, id, rank FROM near WHERE rank <= 30 AND label = own), few AS (SELECT query_id, any_value(own) AS own FROM hit GROUP BY query_id HAVING count(*) < 10),
