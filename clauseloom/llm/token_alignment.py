@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,22 +20,22 @@ from .ngram_join import _STEP, _mix
 
 #: Bits of a B id in a pair's number, bytes of text in a packet, bytes above which a text is cut into segments, segments that
 #: one step of the tree composes, units that a worker keeps, and bytes of a unit above which the slower encoder takes over.
-B_BITS, PACKET, SEGMENT, FAN, KEPT_UNITS, LONG_UNIT = 15, 8_000_000, 65_536, 8, 300_000, 10_000
+B_BITS, PACKET, SEGMENT, FAN, KEPT_UNITS, LONG_UNIT = 15, 4_000_000, 65_536, 8, 200_000, 10_000
 #: Bytes of the table of pair counts up to which every executor gets all of it; beyond that, each packet asks for its own pairs.
 BROADCAST_BYTES = 32_000_000
 
 
 class Entry(NamedTuple):
-    """Closed groups: how many tokens, groups and links, the groups as text, the links' pair numbers, and the first group's size."""
+    """Closed groups: how many tokens and groups, the groups as text, and the links' pair numbers."""
 
     n_a: int
     n_b: int
     n_groups: int
     text: str
     links: bytes
-    first: tuple[int, int]
-    a: bytes
-    b: bytes
+
+
+NOTHING = Entry(0, 0, 0, "", b"")
 
 
 class Tokens:
@@ -64,6 +64,8 @@ class Tokens:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in named]
         self.a_size, self.b_size = (np.array([len(x) for x in y], "i8") for y in (self.a_bytes, self.b_bytes))
         self.known: dict[str, Entry | None] = {}
+        #: An id with what may follow it: in its list, before the B ids, before the next group, before the next stretch.
+        self.shown = [f"{i}{mark}" for i in range(len(self.a_bytes)) for mark in (",", "|", ";", "\n")]
 
     @classmethod
     def at(cls, a_path: str, b_path: str) -> Tokens:
@@ -71,45 +73,66 @@ class Tokens:
             cls._made[a_path, b_path] = cls(a_path, b_path)
         return cls._made[a_path, b_path]
 
-    def encode_a(self, text: str) -> list[int]:
-        return self.fast(text) if len(text) < LONG_UNIT else self.slow.encode(text, add_special_tokens=False).ids
-
-    def learn(self, units: list[str]) -> None:
-        a = [self.encode_a(" " + u) for u in units]
-        b = self.pieces.encode(units, num_threads=1)
-        raw = [(" " + u).encode() for u in units]
-        fine = [b"".join([self.a_bytes[i] for i in x]) == r and b"".join([self.b_bytes[i] for i in y]) == r for x, y, r in zip(a, b, raw)]
-        entries = iter(self.align([x for x, f in zip(a, fine) if f], [y for y, f in zip(b, fine) if f]))
-        for unit, good in zip(units, fine):
-            self.known[unit] = next(entries) if good else None
-
-    def align(self, a: list[list[int]], b: list[list[int]]) -> Iterator[Entry]:
-        """The groups and links of stretches that both tokenizers cover from end to end; all stretches at once."""
-        if not a:
-            return
-        na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        a_ids, b_ids = (np.fromiter((i for x in y for i in x), "i8") for y in (a, b))
-        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
-        a_from, b_from = a_end - self.a_size[a_ids], b_end - self.b_size[b_ids]
+    def encode(self, unit: str) -> tuple[list[int], list[int]]:
+        a = self.fast(" " + unit) if len(unit) < LONG_UNIT else self.slow.encode(" " + unit, add_special_tokens=False).ids
+        return a, self.pieces.encode(unit)
+
+    def spelled(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        return b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+
+    def learn(self, units: list[str], step: int = 2000) -> None:
+        """Units go to the encoders many at a time, joined by the spaces at which texts are cut; where that is not spelled out
+        as it stands, and for units that begin or end in white space, one by one."""
+        single = [u for u in units if not u or u[0].isspace() or u[-1].isspace() or len(u) >= LONG_UNIT]
+        apart = set(single)
+        plain = [u for u in units if u not in apart]
+        for at in range(0, len(plain), step):
+            some = plain[at : at + step]
+            joined = " ".join(some)
+            raw = (" " + joined).encode()
+            a, b = self.fast(" " + joined), self.pieces.encode(joined)
+            if self.spelled(a, b, raw):
+                a, b = np.array(a), np.array(b)
+                ends = np.cumsum([len(u.encode()) + 1 for u in some])
+                na, nb = (np.diff(np.searchsorted(np.cumsum(size[ids]), ends, side="right"), prepend=0) for ids, size in ((a, self.a_size), (b, self.b_size)))
+                self.known.update(zip(some, self.align(a, b, na, nb)))
+            else:
+                single += some
+        for u in single:
+            a, b = self.encode(u)
+            fine = self.spelled(a, b, (" " + u).encode())
+            self.known[u] = next(iter(self.aligned([a], [b]))) if fine else None
+
+    def aligned(self, a: list[list[int]], b: list[list[int]]) -> list[Entry]:
+        """Of each stretch that both tokenizers cover from end to end, its groups and links."""
+        flat = [np.fromiter((i for x in y for i in x), "i8") for y in (a, b)]
+        return self.align(*flat, *(np.array([len(x) for x in y], "i8") for y in (a, b)))
+
+    def align(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> list[Entry]:
+        """The same for stretches one after the other, which have ``na`` and ``nb`` tokens."""
+        if not len(na):
+            return []
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        a_from, b_from = a_end - self.a_size[a], b_end - self.b_size[b]
         common = np.intersect1d(a_end, b_end, assume_unique=True)
         low, high = np.searchsorted(b_end, a_from, side="right"), np.searchsorted(b_from, a_end, side="left")
         n = high - low
         other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
-        pairs = ((np.repeat(a_ids, n) << B_BITS) | b_ids[other]).astype("<u4")
-        # where each group's tokens end, and each stretch's groups, tokens and links
-        a_cut, b_cut = np.searchsorted(a_end, common, side="right").tolist(), np.searchsorted(b_end, common, side="right").tolist()
-        last = a_end[np.cumsum(na) - 1]
-        group_to, link_to = np.searchsorted(common, last, side="right").tolist(), np.cumsum(n)[np.cumsum(na) - 1].tolist()
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_raw, b_raw = a_ids.astype("<u4"), b_ids.astype("<u4")
-        g = i = j = k = 0
-        for groups, links, x, y in zip(group_to, link_to, na.tolist(), nb.tolist()):
-            texts, at, bt = [], i, j
-            for q in range(g, groups):
-                texts.append(",".join(a_text[at : a_cut[q]]) + "|" + ",".join(b_text[bt : b_cut[q]]))
-                at, bt = a_cut[q], b_cut[q]
-            yield Entry(x, y, groups - g, ";".join(texts), pairs[k:links].tobytes(), (a_cut[g] - i, b_cut[g] - j), a_raw[i : i + x].tobytes(), b_raw[j : j + y].tobytes())
-            g, i, j, k = groups, i + x, j + y, links
+        pairs = ((np.repeat(a, n) << B_BITS) | b[other]).astype("<u4").tobytes()
+        # the groups as one text: A and B ids by group, each followed by what stands after it
+        side = np.r_[np.zeros(len(a), "i8"), np.ones(len(b), "i8")]
+        group = np.r_[np.searchsorted(common, a_end), np.searchsorted(common, b_end)]
+        order = np.argsort(group * 2 + side, kind="stable")
+        group, side, ids = group[order], side[order], np.r_[a, b][order]
+        last = np.r_[(group[1:] != group[:-1]) | (side[1:] != side[:-1]), True]
+        mark = np.where(last, 1 + side, 0)
+        ends = np.searchsorted(common, a_end[np.cumsum(na) - 1])  # the last group of each stretch
+        final = np.zeros(len(common), bool)
+        final[ends] = True
+        mark[last & (side == 1) & final[group]] = 3
+        texts = "".join(map(self.shown.__getitem__, (ids * 4 + mark).tolist())).split("\n")
+        links = (np.cumsum(n)[np.cumsum(na) - 1] * 4).tolist()
+        return [Entry(x, y, g, t, pairs[i:j]) for x, y, g, t, i, j in zip(na.tolist(), nb.tolist(), np.diff(ends, prepend=-1).tolist(), texts, [0, *links], links)]
 
     def all(self, units: set[str]) -> dict[str, Entry | None]:
         missing = [u for u in units if u not in self.known]
@@ -120,11 +143,15 @@ class Tokens:
         return self.known
 
 
+#: A space beside white space or at an end.
+_AWKWARD = re.compile(r" \s|\s |\A | \Z")
+
+
 def units(text: str) -> list[str]:
     """A text cut at single spaces between other characters that are no white space: neither tokenizer has a token across
     such a place, so units are encoded each by itself."""
     split = text.split(" ")
-    if any(not u or u[0].isspace() or u[-1].isspace() for u in split):
+    if _AWKWARD.search(text):
         out = split[:1]
         for u in split[1:]:
             if u and out[-1] and not u[0].isspace() and not out[-1][-1].isspace():
@@ -218,7 +245,7 @@ def _short(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Itera
             known = tokens.all(index.keys())
             entries = [known[u] for u in index]
             bad = {k for k, e in enumerate(entries) if e is None}
-            entries = [e or Entry(0, 0, 0, "", b"", (0, 0), b"", b"") for e in entries]
+            entries = [e or NOTHING for e in entries]
             texts, uses, shas = [e.text for e in entries], [], []
             for x in split:
                 use = [index[u] for u in x]
@@ -255,10 +282,6 @@ FRAGMENTS = f"key long, doc_id long, segment long, fine boolean, {_OPEN}, groups
 _GROUPS = pa.list_(pa.struct([("segment", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
 
-def _ids(raw: bytes) -> list[int]:
-    return np.frombuffer(raw, "<u4").tolist()
-
-
 def _columns(x: Fragment) -> tuple:
     return (*x.head, x.closed is not None, *x.tail, [{"segment": n, "a": a, "b": b} for n, (a, b) in x.closed or []])
 
@@ -280,9 +303,10 @@ def _fragments(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> I
             fine = None not in row
             x, groups, packed = EMPTY, "", None
             if fine:
-                a, b, (i, j) = _ids(row[0].a), _ids(row[0].b), row[0].first
-                x = Fragment((a[:i], b[:j]), [], ([], []))
-                row[:1] = tokens.align([a[i:]], [b[j:]]) if len(a) > i else []
+                a, b = tokens.encode(split[0])
+                whole = fragment(a, np.cumsum(tokens.a_size[a]).tolist(), b, np.cumsum(tokens.b_size[b]).tolist(), segment)
+                row[:1] = tokens.aligned([g for _, (g, _) in whole.closed], [g for _, (_, g) in whole.closed])
+                x = whole._replace(closed=[])
                 groups = ";".join([e.text for e in row])
                 index = {id(e): k for k, e in enumerate({id(e): e for e in row}.values())}
                 entries = list({id(e): e for e in row}.values())
@@ -340,7 +364,7 @@ def _finished(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> It
     for batch in batches:
         for row in batch.to_pylist():
             groups = finish(_opened(row))
-            entries = list(tokens.align([a for _, (a, _) in groups], [b for _, (_, b) in groups]))
+            entries = tokens.aligned([a for _, (a, _) in groups], [b for _, (_, b) in groups])
             packed = _blob(_packet(0, [(row["doc_id"], row["key"])], entries, [np.arange(len(entries))], [None]))
             n = len(groups)
             yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * n), pa.array([k for k, _ in groups], pa.int64()), pa.array([e.text for e in entries], pa.string()), pa.array([packed] + [None] * (n - 1), pa.binary())], names=["key", "segment", "groups", "packed"])
