@@ -74,9 +74,10 @@ def find_spans(text: Column, regex: str, groups: tuple[int, ...] = ()) -> Column
     marked = F.regexp_replace(plain, by, f"{_OPEN}$0{_CLOSE}")
 
     def spans(parts):
-        tail = F.slice(parts, 2, F.size(parts))
-        starts = F.aggregate(tail, F.array(F.length(F.get(parts, F.lit(0)))), lambda done, x: F.array_append(done, F.element_at(done, -1) + F.length(x) - 1))
-        return F.zip_with(tail, F.slice(starts, 1, F.size(tail)), lambda x, at: _let(F.substring_index(x, _CLOSE, 1), lambda m: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), m.alias("match"), *[F.regexp_extract(m, by, g).alias(f"g{g}") for g in groups])))
+        """The first part ends where the first match begins; every later one is a match, its mark and the gap after it."""
+        starts = F.aggregate(parts, F.array().cast("array<int>"), lambda done, x: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)) - 1, F.lit(0)) + F.length(x)))
+        found = F.zip_with(parts, F.concat(F.array(F.lit(0)), starts), lambda x, at: _let(F.substring_index(x, _CLOSE, 1), lambda m: F.struct(at.alias("start"), (at + F.length(m)).alias("stop"), m.alias("match"), *[F.regexp_extract(m, by, g).alias(f"g{g}") for g in groups])))
+        return F.slice(found, 2, F.size(parts) - 1)
 
     return _let(F.split(marked, _OPEN, -1), spans)
 
@@ -106,10 +107,15 @@ def _spans_of(text: Column, name: str, rank: int, regex: str, group: int) -> Col
     return F.when(F.contains(text, F.lit(_NEEDS[regex])), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if regex in _NEEDS else spans
 
 
+def spans_in(normal: Column, ranks: tuple[int, ...] = tuple(range(len(PATTERNS)))) -> Column:
+    """The spans of some patterns in a text with straight quotes, by start, then pattern, then order of finding; overlaps still
+    there. ``normal`` is written out at each use, so it should be a column."""
+    return F.array_sort(F.concat(*[F.coalesce(_spans_of(normal, *PATTERNS[r]), F.array()).cast(f"array<{SPAN}>") for r in ranks]))
+
+
 def all_spans(text: Column) -> Column:
-    """All patterns' spans in the normalised text, by start, then pattern, then order of finding; overlaps still there."""
-    found = lambda normal: F.concat(*[F.coalesce(_spans_of(normal, *p), F.array()).cast(f"array<{SPAN}>") for p in PATTERNS])
-    return F.array_sort(_let(normalize_quotes(text), found))
+    """All patterns' spans in a text of any quotes."""
+    return F.get(F.transform(F.array(normalize_quotes(text)), lambda normal: spans_in(normal)), F.lit(0))
 
 
 def drop_overlaps(spans: Column) -> Column:

@@ -60,9 +60,23 @@ def content_id(prefix: str, *parts):
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
 
 
+def scan(docs: DataFrame, ranks: tuple[int, ...] = tuple(range(len(P.PATTERNS)))) -> DataFrame:
+    """(doc_id, t, spans): each text with straight quotes and all spans of the patterns asked for, by start, then pattern.
+
+    Every rule that reads patterns starts from such rows, so a text is scanned once for all of them; stage the table where
+    several results come from it. Functions below that take ``docs`` also take a scan.
+    """
+    normal = docs.select("doc_id", P.normalize_quotes(F.col("text")).alias("t"))
+    return normal.select("doc_id", "t", P.spans_in(F.col("t"), ranks).alias("spans"))
+
+
+def _scanned(docs: DataFrame, *ranks: int) -> DataFrame:
+    return docs if "spans" in docs.columns else scan(docs, ranks) if ranks else scan(docs)
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """One row per span that is left after overlaps are dropped, in order."""
-    rows = docs.select("doc_id", F.posexplode(P.extract_patterns(F.col("text"))).alias("ordinal", "s"))
+    rows = _scanned(docs).select("doc_id", F.posexplode(P.drop_overlaps(F.col("spans"))).alias("ordinal", "s"))
     return rows.select("doc_id", "ordinal", "s.pattern", "s.value", F.col("s.start").alias("char_start"), F.col("s.stop").alias("char_end"), "s.a", "s.b", "s.rank")
 
 
@@ -72,35 +86,38 @@ def pattern_facts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", content_id("f-", "doc_id", "pattern", "char_start", "char_end", "ordinal").alias("fact_id"), "ordinal", kinds[F.col("pattern")].alias("fact_type"), F.when(F.col("pattern") == "entity_alias", "party").alias("entity_type"), "value", "char_start", "char_end", F.concat(F.lit("body > pattern["), "pattern", F.lit("]")).alias("structural_path"))
 
 
+#: Ranks of the patterns that define terms, and of those that name parties.
+_DEFINING, _NAMING = (0, 1), (7, 8)
+
+
+def _bound(docs: DataFrame, ranks: tuple[int, ...]) -> DataFrame:
+    """The first span of each term, whatever its case: names before definitions, then by pattern and place. One row per term with
+    what it means; a parenthetical term means the text before it."""
+    rows = _scanned(docs, *ranks).select("doc_id", "t", F.explode(F.filter("spans", lambda s: s["rank"].isin(*ranks))).alias("s")).select("doc_id", "t", "s.*")
+    begin = F.greatest(F.col("start") - 120, F.lit(0))
+    before = F.trim(F.substring("t", begin + 1, F.col("start") - begin))
+    before = F.when(before == "", "(parenthetical definition)").otherwise(F.right(before, F.lit(100)))
+    naming, aside = F.col("rank").isin(*_NAMING), F.col("rank") == 1
+    term = F.when(naming, F.col("b")).when(aside, F.col("value")).otherwise(F.trim("a"))
+    meaning = F.when(naming, F.col("a")).when(aside, before).otherwise(F.col("b"))
+    rows = rows.select("doc_id", term.alias("term"), meaning.alias("resolves_to"), naming.alias("naming"), "rank", F.col("start").alias("char_start"), F.col("stop").alias("char_end"), "n").where("term <> '' and resolves_to <> ''")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.lower("term")).orderBy(F.desc("naming"), "rank", "char_start", "n"))
+    return rows.withColumn("k", first).where("k = 1").drop("k", "n")
+
+
 def aliases(docs: DataFrame) -> DataFrame:
     """(doc_id, alias, entity, char_start): the first of each alias, whatever its case; alias patterns before party patterns."""
-    text = P.normalize_quotes(F.col("text"))
-    rows = docs.select("doc_id", F.explode(F.concat(P._spans_of(text, *P.PATTERNS[7]), P._spans_of(text, *P.PATTERNS[8]))).alias("s")).where("s.a <> '' and s.b <> ''")
-    rank = F.row_number().over(Window.partitionBy("doc_id", F.lower("s.b")).orderBy("s.rank", "s.start"))
-    return rows.withColumn("k", rank).where("k = 1").select("doc_id", F.col("s.b").alias("alias"), F.col("s.a").alias("entity"), F.col("s.start").alias("char_start"), F.col("s.stop").alias("char_end"), F.col("s.rank").alias("rank"))
+    return _bound(docs, _NAMING).select("doc_id", F.col("term").alias("alias"), F.col("resolves_to").alias("entity"), "char_start", "char_end", "rank")
 
 
 def definition_bindings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, resolves_to, rank, char_start): quoted definitions, then parenthetical ones, which mean the text before them."""
-    text = P.normalize_quotes(F.col("text"))
-    plain = docs.select("doc_id", F.explode(P._spans_of(text, *P.PATTERNS[0])).alias("s"))
-    plain = plain.select("doc_id", F.trim("s.a").alias("term"), F.col("s.b").alias("resolves_to"), F.lit(0).alias("rank"), F.col("s.start").alias("char_start"), F.col("s.n").alias("n"))
-    held = docs.select("doc_id", text.alias("t"), F.explode(P._spans_of(text, *P.PATTERNS[1])).alias("s"))
-    begin = F.greatest(F.col("s.start") - 120, F.lit(0))
-    before = F.trim(F.substring("t", begin + 1, F.col("s.start") - begin))
-    before = F.when(F.length(before) > 100, F.right(before, F.lit(100))).otherwise(before)
-    held = held.select("doc_id", F.col("s.value").alias("term"), F.when(before == "", "(parenthetical definition)").otherwise(before).alias("resolves_to"), F.lit(1).alias("rank"), F.col("s.start").alias("char_start"), F.col("s.n").alias("n"))
-    both = plain.unionByName(held).where("term <> '' and resolves_to <> ''")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.lower("term")).orderBy("rank", "char_start", "n"))
-    return both.withColumn("k", first).where("k = 1").drop("k", "n")
+    return _bound(docs, _DEFINING).select("doc_id", "term", "resolves_to", "rank", "char_start")
 
 
 def bindings(docs: DataFrame) -> DataFrame:
-    """Alias bindings outrank definitions of the same term, whatever the case."""
-    named = aliases(docs).select("doc_id", F.col("alias").alias("term"), F.col("entity").alias("resolves_to"), F.lit("alias").alias("kind"), F.lit(0).alias("prior"), "char_start")
-    defined = definition_bindings(docs).select("doc_id", "term", "resolves_to", F.lit("definition").alias("kind"), F.lit(1).alias("prior"), "char_start")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.lower("term")).orderBy("prior", "char_start"))
-    return named.unionByName(defined).withColumn("k", first).where("k = 1").select("doc_id", "term", "resolves_to", "kind", "char_start")
+    """Alias bindings outrank definitions of the same term, whatever the case: one scan, one explode, one window."""
+    return _bound(docs, _DEFINING + _NAMING).select("doc_id", "term", "resolves_to", F.when(F.col("naming"), "alias").otherwise("definition").alias("kind"), "char_start")
 
 
 def resolve_chain(bound: DataFrame, hops: int = 5) -> DataFrame:
