@@ -23,21 +23,14 @@ ALL = f"WITH {O.XREFS}, {FACTS}, {O.BINDINGS}, {EVERY}"
 
 def _parts(spark, d) -> dict:
     """Everything that is extracted from the corpus, by name."""
-    docs = C.corpus(spark, d)
-    p = C.paragraphs(docs)
-    clauses = extract.clauses(p)
-    texts = extract.clause_texts(p, clauses)
-    bodies = extract.body_paragraphs(p, clauses)
-    found = graph.every_fact(facts(spark, d), extract.aliases(docs), clauses, bodies, C.table_rows(C.cells(spark, d)))
-    return {"docs": docs, "paragraphs": p, "clauses": clauses, "texts": texts, "bodies": bodies, "facts": found, "bindings": extract.bindings(docs), "references": extract.cross_references(texts)}
+    return graph.complete(C.corpus(spark, d), C.cells(spark, d))
 
 
 @query(f"""{ALL}, {O.SLOTS.split(', registry', 1)[1].join(['registry', ''])}, n AS (SELECT doc_id, 'facts' AS kind FROM every_fact UNION ALL SELECT doc_id, 'bindings' FROM bindings UNION ALL SELECT doc_id, 'clauses' FROM clauses UNION ALL SELECT doc_id, 'references' FROM xrefs UNION ALL SELECT doc_id, 'slots' FROM slots)
 SELECT doc_id, CAST(count(*) FILTER (kind = 'facts') AS BIGINT) AS facts, CAST(count(*) FILTER (kind = 'bindings') AS BIGINT) AS bindings, CAST(count(*) FILTER (kind = 'clauses') AS BIGINT) AS clauses, CAST(count(*) FILTER (kind = 'references') AS BIGINT) AS references_, CAST(count(*) FILTER (kind = 'slots') AS BIGINT) AS slots FROM corpus LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
 def d12_extraction_counts(spark, d):
     x = _parts(spark, d)
-    slots = extract.fact_slots(x["texts"], *extract.registry(spark))
-    return graph.counts(x["docs"], facts=x["facts"], bindings=x["bindings"], clauses=x["clauses"], references_=x["references"], slots=slots)
+    return graph.counts(x["docs"], facts=x["facts"], bindings=x["bindings"], clauses=x["clauses"], references_=x["references"], slots=x["slots"])
 
 
 @query(f"{ALL} SELECT doc_id, fact_type, CAST(count(*) AS BIGINT) AS n FROM every_fact GROUP BY ALL")
@@ -59,7 +52,7 @@ UNION ALL SELECT doc_id, 'cross_references', 'k:' || ordinal, 'x:' || ordinal ||
 def h2_edges(spark, d):
     x = _parts(spark, d)
     wanted = x["bindings"].select("doc_id", F.lower("term").alias("key"), "char_start", (F.col("char_start") + 5).alias("char_end"))
-    sources = extract.nearest_fact(wanted, facts(spark, d).withColumn("fact", F.concat(F.lit("p:"), "ordinal")))
+    sources = extract.nearest_fact(wanted, extract.spans(x["spans"]).withColumn("fact", F.concat(F.lit("p:"), "ordinal")))
     return graph.edges(x["clauses"], x["facts"], x["bodies"], x["bindings"], sources, x["references"])
 
 

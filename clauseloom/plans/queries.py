@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import rules as R
 from ..operators import assess, evaluate, extract, retrieval
 from ..sources import corpus as C
+from ..sources.store import staged
 from ..streaming import incremental as I
 from . import oracle as O
 
@@ -277,7 +278,7 @@ UNION ALL SELECT 'binding', kind, count(*) FROM bindings GROUP BY kind UNION ALL
 def h1_h3_graph_nodes(spark, d):
     docs = C.corpus(spark, d)
     p = C.paragraphs(docs)
-    clauses = extract.clauses(p)
+    clauses = staged(extract.clauses(p), "clauses")  # read by two of the four kinds
     refs = extract.cross_references(extract.clause_texts(p, clauses))
     kinds = [(docs, "contract", F.lit("")), (clauses, "clause", F.col("clause_type")), (extract.bindings(docs), "binding", F.col("kind")), (refs, "cross_reference", F.col("reference_type"))]
     parts = [df.select(F.lit(k).alias("kind"), t.alias("type")).groupBy("kind", "type").agg(F.count(F.lit(1)).alias("n")) for df, k, t in kinds]

@@ -44,12 +44,19 @@ class VersionedTables:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def _listing(self, version: int) -> dict[tuple[str, int], int]:
-        """(table, bucket) to the version that holds it: at most one row for each bucket of each table."""
+    def _listing(self, version: int) -> dict[tuple[str, int], tuple[int, int]]:
+        """(table, bucket) to the version that holds it and its rows: at most one entry for each bucket of each table."""
         if not version:
             return {}
         rows = self.spark.read.parquet(f"{self.folder}/versions/{version}").collect()
-        return {(r["table_name"], r["bucket"]): r["held"] for r in rows}
+        return {(r["table_name"], r["bucket"]): (r["held"], r["rows"]) for r in rows}
+
+    def rows(self, version: int | None = None) -> dict[str, int]:
+        """How many rows each table has, from the list of the version alone."""
+        out = dict.fromkeys(self.keys, 0)
+        for (table, _), (_, n) in self._listing(self.version() if version is None else version).items():
+            out[table] += n
+        return out
 
     def version(self) -> int:
         """The newest complete version, 0 if there is none."""
@@ -59,9 +66,8 @@ class VersionedTables:
         return max((n for n in names if self._exists(f"{self.folder}/versions/{n}/_SUCCESS")), default=0)
 
     def _paths(self, table: str, version: int, wanted: set[int] | None = None) -> list[str]:
-        held = {b: v for (t, b), v in self._listing(version).items() if t == table and (wanted is None or b in wanted)}
-        paths = [f"{self.folder}/{table}/version={v}/bucket={b}" for b, v in sorted(held.items())]
-        return [p for p in paths if self._exists(p)]
+        held = {b: v for (t, b), (v, n) in self._listing(version).items() if t == table and n and (wanted is None or b in wanted)}
+        return [f"{self.folder}/{table}/version={v}/bucket={b}" for b, v in sorted(held.items())]
 
     def read(self, table: str, schema, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
         """A table as of a version (the newest by default), or only some of its buckets."""
@@ -92,39 +98,46 @@ class VersionedTables:
             named = [df.select(self.by) for df in rows.values()]
             for df in named if leave is None else [leave, *named]:
                 leave = df if leave is None or df is leave else leave.unionByName(df)
-        leave = staged(leave.distinct().withColumn("bucket", self.bucket_of(F.col(self.by))), "leaving") if leave is not None else None
+        if leave is not None:
+            leave = staged(leave.distinct().withColumn("bucket", self.bucket_of(F.col(self.by))), "leaving")
+            leaving = {r[0] for r in leave.select("bucket").distinct().collect()}
         for table in self.keys:
             new = rows.get(table)
             if new is None and leave is None:
                 continue
+            touched, n_new, sizes = {b for t, b in listing if t == table}, 0, {}
+            if leave is not None:
+                touched &= leaving
             if new is not None:
                 new = staged(new.withColumn("bucket", self.bucket_of(F.col(self.by))), "incoming")
-            touched = {r[0] for df in (new, leave) if df is not None for r in df.select("bucket").distinct().collect()}  # at most one for each bucket
-            touched = touched if new is not None else {b for b in touched if (table, b) in listing}
+                sizes = {r[0]: r[1] for r in new.groupBy("bucket").agg(F.count(F.lit(1))).collect()}  # at most one for each bucket
+                touched, n_new = (touched if leave is not None else set()) | set(sizes), sum(sizes.values())
             if not touched:
                 continue
             schema = new.drop("bucket").schema if new is not None else self.spark.read.parquet(*self._paths(table, before)).schema
-            old = self.read(table, schema, before, touched)
-            kept = old if leave is None else old.join(leave.select(self.by), self.by, "left_anti")
-            if new is not None:
-                kept = kept.join(new.select(*self.keys[table]), self.keys[table], "left_anti")
-            both = kept if new is None else kept.unionByName(new.drop("bucket"))
-            both = both.select(*schema.names).withColumn("bucket", self.bucket_of(F.col(self.by)))
+            old, fate = self.read(table, schema, before, touched), F.lit("left")
+            after, fates, both = dict.fromkeys(touched, 0) | sizes, {}, new
+            if any((table, b) in listing for b in touched):
+                if leave is not None:
+                    old, fate = old.join(leave.select(self.by, F.lit(True).alias("_leaves")), self.by, "left"), F.when(F.col("_leaves"), "deleted").otherwise(fate)
+                if new is not None:
+                    old, fate = old.join(new.select(*self.keys[table], F.lit(True).alias("_again")).distinct(), self.keys[table], "left"), F.when(F.col("_again"), "replaced").otherwise(fate)
+                old = staged(old.select(*schema.names, fate.alias("_fate")).withColumn("bucket", self.bucket_of(F.col(self.by))), "judged")
+                for r in old.groupBy("_fate", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+                    fates[r["_fate"]] = fates.get(r["_fate"], 0) + r["n"]
+                    after[r["bucket"]] += r["n"] * (r["_fate"] == "left")
+                kept = old.where("_fate = 'left'").drop("_fate")
+                both = kept if new is None else kept.unionByName(new)
             both.repartition("bucket").sortWithinPartitions("bucket", self.by).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/version={version}")
-            n_old, n_new = old.count(), new.count() if new is not None else 0
-            left = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/version={version}").count() - n_new if n_old else 0
-            replaced = old.join(new.select(*self.keys[table]), self.keys[table], "left_semi").count() if new is not None and n_old else 0
-            told.append((table, n_new, replaced, n_old - left - replaced))
-            listing |= {(table, b): version for b in touched}
+            told.append((table, n_new, fates.get("replaced", 0), fates.get("deleted", 0)))
+            listing |= {(table, b): (version, n) for b, n in after.items()}
         self.spark.createDataFrame(told, counts).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/{version}")
-        listed = self.spark.createDataFrame([(t, b, v) for (t, b), v in listing.items()], "table_name string, bucket int, held int")
+        listed = self.spark.createDataFrame([(t, b, v, n) for (t, b), (v, n) in listing.items()], "table_name string, bucket int, held int, rows long")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{version}")
         return self.spark.read.schema(counts).parquet(f"{self.folder}/counts/{version}")
 
     def clear(self, version: int) -> DataFrame:
         """A version in which all tables are empty; (table_name, rows) that each had, children first as listed in ``keys``."""
-        before = self.version()
-        had = [(t, self.spark.read.parquet(*paths).count() if (paths := self._paths(t, before)) else 0) for t in self.keys]
-        out = staged(self.spark.createDataFrame(had, "table_name string, rows long"), "cleared")
-        self.spark.createDataFrame([], "table_name string, bucket int, held int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{version}")
-        return out
+        had = self.spark.createDataFrame(list(self.rows().items()), "table_name string, rows long")
+        self.spark.createDataFrame([], "table_name string, bucket int, held int, rows long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{version}")
+        return had
