@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -15,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, tidy
+from .common import give_back, stage, tidy
 from .ngram_join import _STEP, _mix
 
 #: Bits of a B id in a pair's number, bytes of text in a packet, bytes above which a text is cut into segments, segments that
 #: one step of the tree composes, units that a worker keeps, and bytes of a unit above which the slower encoder takes over.
-B_BITS, PACKET, SEGMENT, FAN, KEPT_UNITS, LONG_UNIT = 15, 4_000_000, 65_536, 8, 200_000, 10_000
+B_BITS, PACKET, SEGMENT, FAN, KEPT_UNITS, LONG_UNIT = 15, 2_000_000, 65_536, 8, 100_000, 10_000
 #: Bytes of the table of pair counts up to which every executor gets all of it; beyond that, each packet asks for its own pairs.
 BROADCAST_BYTES = 32_000_000
 
@@ -46,19 +48,18 @@ class Tokens:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        model = json.load(open(a_path, encoding="utf-8"))["model"]
+        with open(a_path, encoding="utf-8") as file:
+            told = json.load(file)
+        model, special = told["model"], {t["content"] for t in told["added_tokens"]}
         # byte-level: printable bytes stand for themselves, the others for the code points from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"] for t in json.load(open(a_path, encoding="utf-8"))["added_tokens"]}
         ids = {i: bytes(byte_of[c] for c in token) for token, i in model["vocab"].items() if token not in special}
         self.a_bytes = [ids.get(i, b"") for i in range(max(model["vocab"].values()) + 1)]
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
         self.fast = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks={token: i for i, token in ids.items()}, special_tokens={}).encode_ordinary
-        self.slow = Tokenizer.from_file(a_path)
-        self.slow.encode_special_tokens = True
+        self.a_path = a_path
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
         named = [(self.pieces.id_to_piece(i), self.pieces.is_byte(i)) for i in range(len(self.pieces))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in named]
@@ -73,6 +74,14 @@ class Tokens:
             cls._made[a_path, b_path] = cls(a_path, b_path)
         return cls._made[a_path, b_path]
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.a_path)
+        made.encode_special_tokens = True
+        return made
+
     def encode(self, unit: str) -> tuple[list[int], list[int]]:
         a = self.fast(" " + unit) if len(unit) < LONG_UNIT else self.slow.encode(" " + unit, add_special_tokens=False).ids
         return a, self.pieces.encode(unit)
@@ -136,12 +145,22 @@ class Tokens:
 
     def all(self, units: set[str]) -> dict[str, Entry | None]:
         missing = [u for u in units if u not in self.known]
-        if len(self.known) + len(missing) > KEPT_UNITS:
-            self.known = {u: e for u, e in self.known.items() if u in units}
         for at in range(0, len(missing), 20_000):
             self.learn(missing[at : at + 20_000])
         return self.known
 
+    def forget(self) -> None:
+        """Beyond ``KEPT_UNITS``, as many of the short units stay as half of that holds; they are the frequent ones."""
+        if len(self.known) <= KEPT_UNITS:
+            return
+        sizes, kept, longest = Counter(map(len, self.known)), 0, -1
+        for length in sorted(sizes):
+            kept += sizes[length]
+            if kept > KEPT_UNITS // 2:
+                break
+            longest = length
+        self.known = {u: e for u, e in self.known.items() if len(u) <= longest}
+
 
 #: A space beside white space or at an end.
 _AWKWARD = re.compile(r" \s|\s |\A | \Z")
@@ -253,7 +272,11 @@ def _short(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Itera
                     use = []
                 uses.append(np.array(use, "i8"))
                 shas.append(hashlib.sha256(";".join([texts[k] for k in use]).encode()).hexdigest() if use else "")
-            yield _packet(number, [(d, -1) for d in rows["doc_id"].to_pylist()], entries, uses, shas)
+            packet = _packet(number, [(d, -1) for d in rows["doc_id"].to_pylist()], entries, uses, shas)
+            del split, index, entries, texts, uses, shas
+            tokens.forget()
+            give_back()
+            yield packet
             number += 1
 
 
@@ -300,6 +323,7 @@ def _fragments(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> I
             split = units(text)
             known = tokens.all(set(split))
             row = [known[u] for u in split]
+            tokens.forget()
             fine = None not in row
             x, groups, packed = EMPTY, "", None
             if fine:
@@ -407,7 +431,7 @@ def _asked(batches: Iterator[pa.RecordBatch], slices: int, salts: int) -> Iterat
             if not len(pairs):
                 continue
             used = np.bincount(uses, minlength=len(lasts))
-            counts = np.bincount(links, weights=np.repeat(used, np.diff(np.r_[0, lasts])), minlength=len(pairs)).astype("i8")
+            counts = np.bincount(links, weights=np.repeat(used, np.diff(np.r_[0, lasts])), minlength=len(pairs)).astype("i8")  # of one packet, so that 32 bits do
             where = _slice_of(pairs, slices)
             order = np.argsort(where, kind="stable")
             cut = np.searchsorted(where[order], np.arange(slices + 1))
