@@ -29,9 +29,16 @@ def tasks(spark: SparkSession) -> DataFrame:
 
 
 def keyword_scores(texts: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Every text under every task (fourteen): how many of the task's words it holds. The short list of tasks is broadcast."""
-    low = F.lower("text")
-    return texts.join(F.broadcast(tasks)).select(*texts.columns, "task", F.size(F.filter("keywords", lambda k: F.contains(low, k))).cast("long").alias("score"))
+    """Every text under every task (fourteen): how many of the task's words it holds. The short list of tasks is broadcast.
+
+    Words of all tasks are looked for once in each text, which is put to lower case once; a task counts those of its own
+    among the ones found, so texts are not repeated by task before they are searched."""
+    words = tasks.select(F.explode("keywords").alias("k")).agg(F.collect_set("k").alias("every"))
+    listed = tasks.agg(F.collect_list(F.struct("task", "keywords")).alias("tasks"))
+    low = texts.withColumn("low", F.lower("text")).join(F.broadcast(words)).join(F.broadcast(listed))
+    found = low.withColumn("found", F.filter("every", lambda k: F.contains(F.col("low"), k)))
+    scored = F.transform("tasks", lambda t: F.struct(t["task"].alias("task"), F.size(F.filter(t["keywords"], lambda k: F.array_contains(F.col("found"), k))).cast("long").alias("score")))
+    return found.select(*texts.columns, F.explode(scored).alias("s")).select(*texts.columns, "s.task", "s.score")
 
 
 def accuracy(scores: DataFrame, least: int = 2) -> DataFrame:

@@ -6,6 +6,10 @@ wherever arrays inside the row will do.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,11 +230,17 @@ def registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def fact_slots(texts: DataFrame, slots: DataFrame, words: DataFrame) -> DataFrame:
     """Each clause's slots: partial if its text holds a word of the fact, or a duration or amount where that will do; else missing."""
-    known = F.broadcast(slots.join(words, "fact_spec"))  # the registry, a list of some twenty rows
-    low = F.lower("text")
-    told = F.exists("keywords", lambda k: F.contains(low, k))
-    told = told | (F.col("fact_spec").isin(*BY_DURATION) & F.col("text").rlike(P.DURATION)) | (F.col("fact_spec").isin(*BY_MONEY) & F.col("text").rlike(P.MONETARY))
-    return texts.join(known, "clause_type").select("doc_id", "ordinal", "clause_type", "fact_spec", "required", F.when(told, "partial").otherwise("missing").alias("status"))
+    known = slots.join(words, "fact_spec").groupBy("clause_type").agg(F.collect_list(F.struct("fact_spec", "required", "keywords")).alias("specs"))
+    rows = texts.join(F.broadcast(known), "clause_type")  # the registry, a list of some twenty rows
+    # each clause's text is put to lower case and searched for durations and amounts once, whatever its slots
+    rows = rows.withColumn("low", F.lower("text")).withColumn("lasts", F.col("text").rlike(P.DURATION)).withColumn("costs", F.col("text").rlike(P.MONETARY))
+
+    def told(spec):
+        name = spec["fact_spec"]
+        return F.exists(spec["keywords"], lambda k: F.contains(F.col("low"), k)) | (name.isin(*BY_DURATION) & F.col("lasts")) | (name.isin(*BY_MONEY) & F.col("costs"))
+
+    found = F.transform("specs", lambda s: F.struct(s["fact_spec"].alias("fact_spec"), s["required"].alias("required"), F.when(told(s), "partial").otherwise("missing").alias("status")))
+    return rows.select("doc_id", "ordinal", "clause_type", F.explode(found).alias("s")).select("doc_id", "ordinal", "clause_type", "s.*")
 
 
 #: Section starts inside a long block of text (fixed value).
@@ -254,15 +264,58 @@ def body_paragraphs(paragraphs: DataFrame, clauses: DataFrame) -> DataFrame:
     return rows.join(clauses.where(~F.col("promoted")).select("doc_id", F.col("idx").alias("head"), "ordinal"), ["doc_id", "head"]).select("doc_id", "ordinal", "idx", "text")
 
 
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document and place: facts where they begin, wanted spans where they end.
+
+    Of the facts that began so far only those count that no other outlasts with an earlier ordinal; by end their ordinals
+    rise, so the first that reaches a wanted span's start is its fact. A span without one waits for the next fact.
+    """
+    doc, ends, ordinals, names, last, waiting = None, [], [], [], None, []
+    for batch in batches:
+        out: list[tuple] = []
+
+        def settle(fact=None):
+            for key, start, end, before in waiting:
+                choices = [(start - before[0], before[1], before[2])] if before else []
+                if fact:
+                    choices.append((fact[0] - end, fact[1], fact[2]))
+                out.append((doc, key, min(choices)[2] if choices else "unknown"))
+            waiting.clear()
+
+        for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "kind", "ordinal", "char_start", "char_end", "name"))):
+            if row[0] != doc:
+                settle()
+                doc, ends, ordinals, names, last = row[0], [], [], [], None
+            _, kind, ordinal, start, end, name = row
+            if kind:
+                at = bisect_left(ends, start)
+                if at < len(ends):
+                    out.append((doc, name, names[at]))
+                else:
+                    waiting.append((name, start, end, last))
+                continue
+            settle((start, ordinal, name))
+            if last is None or (end, -ordinal) > (last[0], -last[1]):
+                last = (end, ordinal, name)
+            at = bisect_left(ends, end)
+            if at < len(ends) and ordinals[at] <= ordinal:
+                continue  # one that ends no sooner comes first
+            upto = at + (at < len(ends) and ends[at] == end)
+            begin = bisect_left(ordinals, ordinal, 0, at)
+            ends[begin:upto], ordinals[begin:upto], names[begin:upto] = [end], [ordinal], [name]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "key", "fact"])
+    if waiting:
+        rows = [(doc, key, before[2] if before else "unknown") for key, _, _, before in waiting]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "key", "fact"])
+
+
 def nearest_fact(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     """(doc_id, key, fact): for each (doc_id, key, char_start, char_end) the first fact, by ordinal, that overlaps it, else the
-    nearest one, else ``unknown``. The join is by document; of a document's facts only the best one travels on."""
-    f = facts.select("doc_id", "fact", "ordinal", F.col("char_start").alias("fs"), F.col("char_end").alias("fe"))
-    both = wanted.join(f, "doc_id", "left")
-    over = (F.col("fs") <= F.col("char_end")) & (F.col("fe") >= F.col("char_start"))
-    far = F.least(F.abs(F.col("fs") - F.col("char_end")), F.abs(F.col("fe") - F.col("char_start")))
-    best = F.min_by("fact", F.struct(F.when(over, 0).otherwise(1), F.when(over, 0).otherwise(far), F.col("ordinal")))
-    return both.groupBy("doc_id", "key").agg(F.coalesce(best, F.lit("unknown")).alias("fact"))
+    nearest one, else ``unknown``. Facts and spans of a document are sorted together by place and swept once, so that work
+    grows with their sum and not their product; the sweep holds a few facts at a time."""
+    place = lambda df, kind, name, at, ordinal: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(kind).alias("kind"), ordinal.cast("long").alias("ordinal"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.col(name).alias("name"), F.col(at).cast("long").alias("place"))
+    rows = place(facts, 0, "fact", "char_start", F.col("ordinal")).unionByName(place(wanted, 1, "key", "char_end", F.lit(0)))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "place", "kind", "ordinal").mapInArrow(_sweep, "doc_id long, key string, fact string")
 
 
 def font_levels(blocks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -139,3 +139,35 @@ def test_clause_chain_equals_lists_side_by_side(spark):
     assert outcomes == {"styled", "split", "promoted", "rest"}
     for d, ps in enumerate(docs):
         assert got.get(d, []) == chain(ps, kind), ps
+
+
+def test_live_counts_write_changed_keys_only_and_go_on_after_a_restart(spark, tmp_path):
+    waves, seen = [["a", "a", "b", None], ["c"], ["a", "c", None]], {}
+    for wave in waves:
+        spark.createDataFrame([(v,) for v in wave], "v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("v string").parquet(str(tmp_path / "in"))
+        out = I.live_counts(stream, "v", folder=str(tmp_path / "live"))
+        for v in wave:
+            seen[v] = seen.get(v, 0) + 1
+        assert {r["v"]: r["n"] for r in out.collect()} == seen
+    rows = spark.read.parquet(str(tmp_path / "live" / "rows")).groupBy("at").agg(F.collect_list("v").alias("vs"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["at"]: (sorted(r["vs"]), r["n"]) for r in rows} == {0: (["a", "b"], 3), 1: (["c"], 1), 2: (["a", "c"], 3)}
+
+
+def test_the_sweep_finds_the_nearest_fact(spark):
+    import random
+
+    rng, wanted, facts, best = random.Random(1), [], [], {}
+    for d in range(120):
+        own = [(o, a := rng.randint(0, 40), a + rng.randint(1, 15)) for o in rng.sample(range(50), rng.randint(0, 9))]
+        facts += [(d, f"f{o}", o, a, b) for o, a, b in own]
+        for k in range(rng.randint(0, 5)):
+            s = rng.randint(0, 50)
+            e = s + rng.randint(0, 8)
+            wanted.append((d, f"k{k}", s, e))
+            over = [o for o, a, b in own if a <= e and b >= s]
+            far = [(min(abs(a - e), abs(b - s)), o) for o, a, b in own]
+            best[d, f"k{k}"] = f"f{min(over)}" if over else f"f{min(far)[1]}" if far else "unknown"
+    got = extract.nearest_fact(spark.createDataFrame(wanted, "doc_id long, key string, char_start int, char_end int"), spark.createDataFrame(facts, "doc_id long, fact string, ordinal int, char_start int, char_end int"))
+    assert {(r["doc_id"], r["key"]): r["fact"] for r in got.collect()} == best
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
