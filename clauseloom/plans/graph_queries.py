@@ -17,8 +17,10 @@ EVERY = f"""{BODIES}, {CELLS}, every_fact AS (
   UNION ALL SELECT doc_id, 't:' || idx, 'clause_text', text FROM bodies2 UNION ALL SELECT doc_id, 'c:' || row || ':' || col, 'table_cell', text FROM cells WHERE trim(text) <> '')"""
 SOURCES = """w AS (SELECT doc_id, lower(term) AS key, char_start, char_start + 5 AS char_end FROM bindings),
 near AS (SELECT w.doc_id, key, ordinal, f.char_start <= w.char_end AND f.char_end >= w.char_start AS over, least(abs(f.char_start - w.char_end), abs(f.char_end - w.char_start)) AS far FROM w LEFT JOIN facts f USING (doc_id)),
-sources AS (SELECT doc_id, key, coalesce('p:' || ordinal, 'unknown') AS fact FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY CASE WHEN over THEN 0 ELSE 1 END, CASE WHEN over THEN 0 ELSE far END, ordinal) = 1)"""
+sources AS MATERIALIZED (SELECT doc_id, key, coalesce('p:' || ordinal, 'unknown') AS fact FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY CASE WHEN over THEN 0 ELSE 1 END, CASE WHEN over THEN 0 ELSE far END, ordinal) = 1)"""
 ALL = f"WITH {O.XREFS}, {FACTS}, {O.BINDINGS}, {EVERY}"
+for _name in ("clauses", "xrefs", "bindings", "every_fact"):  # each is read several times
+    ALL = ALL.replace(f" {_name} AS (", f" {_name} AS MATERIALIZED (")
 
 
 def _parts(spark, d) -> dict:

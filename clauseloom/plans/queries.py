@@ -193,10 +193,10 @@ def d7_bindings(spark, d):
     return extract.bindings(C.corpus(spark, d)).drop("char_start")
 
 
-_hop = "SELECT c.doc_id, c.term, coalesce(b.resolves_to, c.meaning) AS meaning, CASE WHEN b.doc_id IS NULL THEN c.seen ELSE list_append(c.seen, lower(c.meaning)) END AS seen, c.hops + CASE WHEN b.doc_id IS NULL THEN 0 ELSE 1 END AS hops FROM {p} c LEFT JOIN bindings b ON b.doc_id = c.doc_id AND lower(b.term) = lower(c.meaning) AND NOT list_contains(c.seen, lower(c.meaning))"
+_hop = "SELECT c.doc_id, c.term, CASE WHEN next IS NULL THEN meaning ELSE next END AS meaning, CASE WHEN next IS NULL THEN seen ELSE list_append(seen, lower(meaning)) END AS seen, hops + CASE WHEN next IS NULL THEN 0 ELSE 1 END AS hops FROM (SELECT c.*, CASE WHEN list_contains(c.seen, lower(c.meaning)) THEN NULL ELSE k.resolves_to END AS next FROM {p} c LEFT JOIN keyed k ON k.doc_id = c.doc_id AND k.key = lower(c.meaning)) c"
 
 
-@query(f"WITH {O.CORPUS}, {O.BINDINGS.replace('bindings AS (', 'bindings AS MATERIALIZED (')}, h1 AS (SELECT doc_id, term, resolves_to AS meaning, [lower(term)] AS seen, CAST(1 AS BIGINT) AS hops FROM bindings), " + ", ".join(f"h{k} AS ({_hop.format(p=f'h{k - 1}')})" for k in range(2, 6)) + " SELECT doc_id, term, meaning, hops FROM h5")
+@query(f"WITH {O.CORPUS}, {O.BINDINGS.replace('bindings AS (', 'bindings AS MATERIALIZED (')}, keyed AS MATERIALIZED (SELECT doc_id, lower(term) AS key, resolves_to FROM bindings), h1 AS MATERIALIZED (SELECT doc_id, term, resolves_to AS meaning, [lower(term)] AS seen, CAST(1 AS BIGINT) AS hops FROM bindings), " + ", ".join(f"h{k} AS MATERIALIZED ({_hop.format(p=f'h{k - 1}')})" for k in range(2, 6)) + " SELECT doc_id, term, meaning, hops FROM h5")
 def d9_term_chain(spark, d):
     return extract.resolve_chain(extract.bindings(C.corpus(spark, d)))
 
