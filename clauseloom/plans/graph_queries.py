@@ -126,24 +126,45 @@ def j4_answers(spark, d):
     return qa.answers(replies.parse(rows, qa.ANSWER))
 
 
-@query("""SELECT event_id AS doc_id, CAST(n AS BIGINT) AS n, CASE n WHEN 0 THEN 'hidden_fact' ELSE 'implied' END AS fact_type, 'claim ' || event_id AS claim, CASE n WHEN 0 THEN 'medium' ELSE 'high' END AS risk_level FROM events, (VALUES (0), (2)) v(n)""")
+def _cut(e):
+    """Every sixth reply ends in its middle, every seventh has no JSON at all."""
+    return lambda body: F.when(e % 7 == 6, "I cannot help with that.").when(e % 6 == 5, F.left(body, F.length(body) - 9)).otherwise(body)
+
+
+@query("""SELECT event_id AS doc_id, CAST(n AS BIGINT) AS n, CASE WHEN (event_id + n) % 3 = 0 THEN 'hidden_fact' ELSE event_type END AS fact_type, 'claim ' || event_id || '.' || n AS claim, CASE (event_id + n) % 4 WHEN 0 THEN 'medium' WHEN 1 THEN 'low' ELSE 'high' END AS risk_level
+FROM events JOIN range(4) r(n) ON n < event_id % 5 WHERE (event_id + n) % 5 <> 4 AND event_id % 7 <> 6 AND event_id % 6 <> 5""")
 def m3_discovered_facts(spark, d):
+    """Up to four facts a reply; types, claims and risk levels are missing here and there, and some replies cannot be read."""
     e = F.col("event_id")
-    body = F.concat(F.lit('```json\n{"discovered_facts": [{"claim": "claim '), e, F.lit('"}, {"claim": "", "type": "x"}, {"type": "implied", "claim": "claim '), e, F.lit('", "risk_level": "high"},], }\n```'))
-    return qa.discovered(replies.parse(C.tables(spark, d, "events")[0].select(e.alias("doc_id"), body.alias("content")), qa.DISCOVERY))
+
+    def fact(n):
+        parts = [F.when((e + n) % 3 != 0, F.concat(F.lit('"type": "'), "event_type", F.lit('"'))), F.concat(F.lit('"claim": "'), F.when((e + n) % 5 != 4, F.concat(F.lit("claim "), e, F.lit(f".{n}"))).otherwise(""), F.lit('"'))]
+        parts.append(F.when((e + n) % 4 != 0, F.when((e + n) % 4 == 1, '"risk_level": "low"').otherwise('"risk_level": "high"')))
+        return F.when(e % 5 > n, F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit(",}")))
+
+    body = F.concat(F.lit('```json\n{"discovered_facts": ['), F.concat_ws(", ", *map(fact, range(4))), F.lit('], "summary": "s",}\n```'))
+    return qa.discovered(replies.parse(C.tables(spark, d, "events")[0].select(e.alias("doc_id"), _cut(e)(body).alias("content")), qa.DISCOVERY))
 
 
 def _memos(spark, d):
-    body = F.concat(F.lit('{"overall_risk_rating": "high", "key_risks": [{"risk": "'), F.rpad(F.col("event_id").cast("string"), 130, "r"), F.lit('", "severity": 5}, {"category": "Cap"},], "missing_protections": ["a", "b", "c", "d", "e", "f"]}'))
-    return replies.parse(C.tables(spark, d, "events")[0].select(F.col("event_id").alias("doc_id"), body.alias("content")), qa.MEMO)
+    e = F.col("event_id")
+    risk = lambda n: F.when(e % 4 > n, F.concat(F.lit("{"), F.concat_ws(", ", F.concat(F.lit('"risk": "'), F.rpad(e.cast("string"), 90 + 20 * n, "r"), F.lit('"')), F.when((e + n) % 2 == 0, F.lit('"category": "Cap"')), F.when((e + n) % 3 != 0, F.concat(F.lit('"severity": '), (e + n) % 5 + 1))), F.lit("}")))
+    lacks = F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda n: n < e % 8), lambda n: F.concat(F.lit('"lack '), n, F.lit('"')))
+    body = F.concat(F.lit("{"), F.concat_ws(", ", F.when(e % 3 != 0, F.concat(F.lit('"overall_risk_rating": "'), F.lower("event_type"), F.lit('"'))), F.when(e % 10 != 0, F.concat(F.lit('"key_risks": ['), F.concat_ws(", ", *map(risk, range(3))), F.lit("]"))), F.concat(F.lit('"missing_protections": ['), F.array_join(lacks, ", "), F.lit("]"))), F.lit("}"))
+    return replies.parse(C.tables(spark, d, "events")[0].select(e.alias("doc_id"), _cut(e)(body).alias("content")), qa.MEMO)
+
 
+_read = "event_id % 7 <> 6 AND event_id % 6 <> 5"
 
-@query("""SELECT event_id AS doc_id, CAST(n AS BIGINT) AS n, CASE n WHEN 0 THEN 'Risk' ELSE 'Cap' END AS category, CAST(CASE n WHEN 0 THEN 5 ELSE 3 END AS BIGINT) AS severity, CASE n WHEN 0 THEN left(rpad(CAST(event_id AS VARCHAR), 130, 'r'), 120) ELSE '' END AS detail FROM events, (VALUES (0), (1)) v(n)""")
+
+@query(f"""SELECT event_id AS doc_id, CAST(n AS BIGINT) AS n, CASE WHEN (event_id + n) % 2 = 0 THEN 'Cap' ELSE 'Risk' END AS category, CAST(CASE WHEN (event_id + n) % 3 <> 0 THEN (event_id + n) % 5 + 1 ELSE 3 END AS BIGINT) AS severity, left(rpad(CAST(event_id AS VARCHAR), CAST(90 + 20 * n AS INT), 'r'), 120) AS detail
+FROM events JOIN range(3) r(n) ON n < event_id % 4 WHERE event_id % 10 <> 0 AND {_read}""")
 def m5_memo_risks(spark, d):
     return qa.memo_risks(_memos(spark, d))
 
 
-@query("SELECT event_id AS doc_id, 'HIGH' AS rating, CAST(2 AS BIGINT) AS risks, CAST(6 AS BIGINT) AS missing, 'a, b, c, d, e' AS missing_shown FROM events")
+@query(f"""SELECT event_id AS doc_id, CASE WHEN {_read} AND event_id % 3 <> 0 THEN upper(event_type) ELSE 'N/A' END AS rating, CAST(CASE WHEN {_read} AND event_id % 10 <> 0 THEN least(event_id % 4, 3) ELSE 0 END AS BIGINT) AS risks, CAST(CASE WHEN {_read} THEN event_id % 8 ELSE 0 END AS BIGINT) AS missing,
+CASE WHEN {_read} THEN coalesce(array_to_string(list_transform(range(least(event_id % 8, 5)), lambda n: 'lack ' || n), ', '), '') ELSE '' END AS missing_shown FROM events""")
 def m5_memo_summaries(spark, d):
     return qa.memo_summaries(_memos(spark, d))
 
@@ -154,11 +175,48 @@ def m6_prompts(spark, d):
     return qa.prompts(facts(spark, d).select("doc_id", F.concat(F.lit("p:"), "ordinal").alias("fact_id"), kinds[F.col("pattern")].alias("fact_type"), "value", "ordinal"))
 
 
-@query("""SELECT o_orderkey AS left_id, o_custkey AS right_id, CAST(n AS BIGINT) AS n, 'aspect ' || n AS aspect, 'x' || o_orderkey AS contract_1, 'y' AS contract_2, CASE WHEN n % 2 = 0 THEN 'medium' ELSE 'low' END AS significance FROM orders, range(10) r(n)""")
+@query("""SELECT o_orderkey AS left_id, o_custkey AS right_id, CAST(n AS BIGINT) AS n, CASE WHEN (o_orderkey + n) % 4 <> 0 THEN 'aspect ' || n END AS aspect, 'x' || o_orderkey AS contract_1, o_orderpriority AS contract_2, CASE WHEN (o_orderkey + n) % 3 <> 0 THEN 'low' ELSE 'medium' END AS significance
+FROM orders JOIN range(10) r(n) ON n < o_orderkey % 14 WHERE o_orderkey % 7 <> 6 AND o_orderkey % 6 <> 5""")
 def k13_differences(spark, d):
-    one = lambda i: F.concat(F.lit(f'{{"aspect": "aspect {i}", "contract_1": "x'), "o_orderkey", F.lit('", "contract_2": "y"' + (', "significance": "low"' if i % 2 else "") + "}"))
-    body = F.concat(F.lit('{"differences": ['), F.concat_ws(", ", *map(one, range(12))), F.lit('], "summary": "s"}'))
-    return qa.differences(replies.parse(C.tables(spark, d, "orders")[0].select(F.col("o_orderkey").alias("left_id"), F.col("o_custkey").alias("right_id"), body.alias("content")), qa.DIFFERENCES))
+    """Up to thirteen differences a reply, of which ten count; aspects and significance are missing here and there."""
+    k = F.col("o_orderkey")
+    one = lambda i: F.when(k % 14 > i, F.concat(F.lit("{"), F.concat_ws(", ", F.when((k + i) % 4 != 0, F.lit(f'"aspect": "aspect {i}"')), F.concat(F.lit('"contract_1": "x'), k, F.lit('"')), F.concat(F.lit('"contract_2": "'), "o_orderpriority", F.lit('"')), F.when((k + i) % 3 != 0, F.lit('"significance": "low"'))), F.lit("}")))
+    body = F.concat(F.lit('{"differences": ['), F.concat_ws(", ", *map(one, range(13))), F.lit('], "summary": "s"}'))
+    return qa.differences(replies.parse(C.tables(spark, d, "orders")[0].select(k.alias("left_id"), F.col("o_custkey").alias("right_id"), _cut(k)(body).alias("content")), qa.DIFFERENCES))
+
+
+_id = "o_orderkey"
+#: Replies cut off in the middle of a list, by order: what stands before the list, the list and its items, and what is read of them.
+_REPLIES = {
+    1: ("'{{\"summary\": \"Contract ' || {k} || '\", \"total_affirmative\": ' || {c} || ', '", "obligations", ["'{{\"party\": \"Client\", \"n\": ' || {k} || '}}'", "'{{\"party\": \"Vendor\"}}'"], "'{{\"party\": \"Client\", \"description\": \"If termin'"),
+    2: ("'Memo: {{\"executive_summary\": \"High\", \"overall_risk_rating\": \"' || lower({p}) || '\", \"recommendations\": [{{\"action\": \"a\"}}], '", "key_risks", ["'{{\"risk\": \"Cap ' || {c} || '\"}}'"], "'{{\"risk\": \"No IP'"),
+    3: ("'```json{{'", "discovered_facts", ["'{{\"claim\": \"use {{ and ]}} of ' || {k} || '\"}}'", "'{{\"claim\": \"say \\\"' || {c} || '\\\"\"}}'"], "'{{\"claim'"),
+    4: ("'{{\"categories_found\": \"\", \"total_negative\": 3, '", "escalation_items", ["'{{\"item\": {{\"inner\": [' || {k} || ', 2]}}}}'", "'{{\"x\": true,}}'"], "'{{\"y\": '"),
+}
+
+
+def _reply_sql(k: int, spark: bool) -> str:
+    """The text of a reply, in either engine's SQL: only the escape of a backslash differs."""
+    head, name, items, tail = _REPLIES[k]
+    text = f"{head} || '\"{name}\": [' || {' || chr(44) || '.join([*items, tail])}"
+    text = text.format(k="CAST(o_orderkey AS STRING)", c="CAST(o_custkey AS STRING)", p="o_orderpriority")
+    return text.replace("\\", "\\\\") if spark else text
+
+
+def _read_sql(k: int) -> str:
+    _, name, items, _ = _REPLIES[k]
+    told = {1: ("'Contract ' || o_orderkey", "NULL", "CAST(o_custkey AS VARCHAR)"), 2: ("NULL", "lower(o_orderpriority)", "NULL")}.get(k, ("NULL", "NULL", "NULL"))
+    rows = [f"SELECT o_orderkey AS id, '{name}' AS list, CAST({n} AS BIGINT) AS n, {x.format(k='o_orderkey', c='o_custkey', p='o_orderpriority').replace(',}', '}')} AS object, {told[0]} AS summary, {told[1]} AS rating, {told[2]} AS total FROM orders WHERE o_orderkey % 7 = {k}" for n, x in enumerate(items)]
+    return " UNION ALL ".join(rows)
+
+
+@query(" UNION ALL ".join(_read_sql(k) for k in _REPLIES))
+def m2_salvaged_lists(spark, d):
+    """Replies of all kinds: whole ones and such without a whole object give nothing here, those cut off give what is whole."""
+    cases = " ".join(f"WHEN {k} THEN {_reply_sql(k, True)}" for k in _REPLIES)
+    text = F.expr(f"CASE CAST(o_orderkey % 7 AS INT) {cases} WHEN 5 THEN '{{\"obligations\": [{{\"party\": \"cut' WHEN 6 THEN '{{\"obligations\": [{{\"a\": 1,}}]}}' ELSE 'no reply' END")
+    found = replies.salvage_lists(C.tables(spark, d, "orders")[0].select(F.col("o_orderkey").alias("id"), text.alias("content")))
+    return found.select("id", "list", "n", "object", F.col("singles")["summary"].alias("summary"), F.col("singles")["overall_risk_rating"].alias("rating"), F.col("singles")["total_affirmative"].alias("total"))
 
 
 _asked = "CASE doc_id % 4 WHEN 0 THEN 'Is PII protected?' WHEN 1 THEN 'Which choice of law is governing?' WHEN 2 THEN 'Is it Confidential?' ELSE 'Who must indemnify?' END"

@@ -171,3 +171,33 @@ def test_the_sweep_finds_the_nearest_fact(spark):
     got = extract.nearest_fact(spark.createDataFrame(wanted, "doc_id long, key string, char_start int, char_end int"), spark.createDataFrame(facts, "doc_id long, fact string, ordinal int, char_start int, char_end int"))
     assert {(r["doc_id"], r["key"]): r["fact"] for r in got.collect()} == best
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_replies_that_were_cut_off(spark):
+    import json
+
+    from clauseloom.operators import replies
+
+    said = {
+        1: '{"summary": "Many", "total_affirmative": 5, "obligations": [{"party": "A", "type": "affirmative"},{"party": "B"},{"party": "C", "description": "If termin',
+        2: '{"executive_summary": "High risk", "overall_risk_rating": "high", "missing_protections": ["No FM"], "recommendations": [{"action": "x"}], "key_risks": [{"risk": "Unlimited"},{"risk": "No IP", "mitigation": "Add IP cl',
+        3: '{"obligations": [{"text": "use { and } in strings"}, {"outer": {"inner": "val"}}, {"n": [1, 2,],}, {"cut',
+        4: '{"obligations": [{"text": "say \\"hello\\" ]"}, {"b": "this is a long str',
+        5: '{"obligations": [{"b": "cut',
+        6: '```json\n{"obligations": [{"party": "whole"}],}\n```',
+        7: "no json at all",
+        8: None,
+        9: "",
+        10: '{"unknown_list": [{"a": 1}, {"b": 2',
+        11: '{"obligations": [] , "key_risks": [{"risk": "second list"}], "x',
+    }
+    got: dict[int, list] = {}
+    for r in replies.salvage_lists(spark.createDataFrame(list(said.items()), "id long, content string")).orderBy("id", "n").collect():
+        got.setdefault(r["id"], [r["list"], r["singles"]]).append(json.loads(r["object"]))
+    assert got == {
+        1: ["obligations", {"summary": "Many", "total_affirmative": "5"}, {"party": "A", "type": "affirmative"}, {"party": "B"}],
+        2: ["key_risks", {"executive_summary": "High risk", "overall_risk_rating": "high"}, {"risk": "Unlimited"}],
+        3: ["obligations", {}, {"text": "use { and } in strings"}, {"outer": {"inner": "val"}}, {"n": [1, 2]}],
+        4: ["obligations", {}, {"text": 'say "hello" ]'}],
+        11: ["key_risks", {}, {"risk": "second list"}],
+    }
