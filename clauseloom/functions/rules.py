@@ -125,3 +125,22 @@ def register(spark) -> None:
         "normalize_quotes(t STRING) RETURNS STRING RETURN translate(t, '“”„‘’‚–—«»', '\"\"\"\\'\\'\\'--\"\"')",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {made}")
+
+
+#: Every match of a pattern with its place, as a table function: one scan marks the matches, running lengths give the places.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_SPANS = f"""spans(t STRING, pattern STRING) RETURNS TABLE (n INT, start INT, stop INT, match STRING) RETURN
+SELECT CAST(pos - 1 AS INT), CAST(at AS INT), CAST(at + length(substring_index(part, '{_CLOSE}', 1)) AS INT), substring_index(part, '{_CLOSE}', 1) FROM (
+  SELECT pos, part, aggregate(slice(parts, 1, pos), 0, (a, x) -> a + length(x)) - greatest(pos - 1, 0) AS at FROM (SELECT parts, posexplode(parts) AS (pos, part) FROM (
+    SELECT split(regexp_replace(translate(t, '{_OPEN}{_CLOSE}', '\ufffd\ufffd'), pattern, '{_OPEN}$0{_CLOSE}'), '{_OPEN}', -1) AS parts))) WHERE pos > 0"""
+
+
+def register_spans(spark) -> None:
+    """``spans(text, pattern)`` for ``FROM docs, LATERAL spans(text, pattern)``: rows (n, start, stop, match)."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {_SPANS}")
+
+
+def unregister(spark) -> None:
+    """Take the session's functions of ``register`` and ``register_spans`` away again."""
+    for name in ("classify_heading", "confidence_label", "risk_level", "normalize_quotes", "spans"):
+        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")

@@ -61,14 +61,14 @@ def checklist(spark: SparkSession, items=CHECKLIST) -> DataFrame:
     return spark.createDataFrame(items, "item_id string, name string, automation string, critical boolean")
 
 
-def findings(docs: DataFrame, texts: DataFrame, positions: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """One finding per matched clause and per required position without a clause.
+def findings(docs: DataFrame, texts: DataFrame, positions: DataFrame, replies: DataFrame | None = None, focus: list[str] | None = None) -> DataFrame:
+    """One finding per matched clause and per required position without a clause; with ``focus``, for these clause types only.
 
     A trigger in the clause text makes it red at 5 x 4; a missing required clause is red at 4 x 4; else a reply of the model
     (doc_id, ordinal, severity, risk_severity, risk_likelihood) decides, with yellow and 2 x 2 in place of bad values; no
     reply leaves the clause green without a score. The playbook is a short list, so it is the side that is broadcast.
     """
-    small = F.broadcast(positions)
+    small = F.broadcast(positions if focus is None else positions.where(F.col("clause_type").isin(*focus)))
     low = F.lower("text")
     matched = texts.join(small, "clause_type").withColumn("trigger", F.get(F.filter("triggers", lambda t: F.contains(low, F.lower(t))), F.lit(0)))
     if replies is None:
@@ -104,6 +104,22 @@ def risk_profile(findings: DataFrame) -> DataFrame:
     return out.withColumn("overall_score", F.bround(mean, 1)).withColumn("overall_level", R.risk_level(mean)).drop("top")
 
 
+def highest_findings(findings: DataFrame, positions: list[tuple] = PLAYBOOK) -> DataFrame:
+    """(doc_id, position, clause, score): each document's finding of the highest score, of equal ones the first by the
+    playbook's order and then the clause's. Findings without a score are none; documents with such alone give no row."""
+    place = F.create_map(*[F.lit(x) for k, p in enumerate(positions) for x in (p[0], k)])
+    best = F.max_by(F.struct("position", "clause", "score"), F.struct("score", -place[F.col("position")], -F.coalesce("clause", F.lit(0))))
+    return findings.where("score > 0").groupBy("doc_id").agg(best.alias("f")).select("doc_id", "f.*")
+
+
+def finding_provenance(findings: DataFrame, clause_facts: DataFrame) -> DataFrame:
+    """Findings with ``fact_ids`` (their clause's heading fact, then those it contains) and the heading's offsets; a finding about
+    a missing clause has no ids and zeros. ``clause_facts``: (doc_id, ordinal, fact_ids, char_start, char_end)."""
+    known = clause_facts.select("doc_id", F.col("ordinal").alias("clause"), "fact_ids", "char_start", "char_end")
+    none = F.array().cast("array<string>")
+    return findings.join(known, ["doc_id", "clause"], "left").withColumn("fact_ids", F.coalesce("fact_ids", none)).na.fill(0, ["char_start", "char_end"])
+
+
 def review_summary(findings: DataFrame) -> DataFrame:
     """Per document: counts by severity, the missing clauses in order, and the strategy told without a model."""
     out = findings.groupBy("doc_id").agg(

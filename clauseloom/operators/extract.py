@@ -142,10 +142,10 @@ def resolve_chain(bound: DataFrame, hops: int = 5) -> DataFrame:
     return out.select("doc_id", "term", "end.meaning", "end.hops")
 
 
-def clauses(paragraphs: DataFrame) -> DataFrame:
+def clauses(paragraphs: DataFrame, rules: list[tuple[str, str]] = R.HEADINGS) -> DataFrame:
     """(doc_id, idx, ordinal, heading, clause_type, section_number, promoted): styled headings of a document if any of them has
     a type other than general, else its structural ones if these have, else whichever exist. One window pass per document."""
-    kind = R.classify_heading(F.col("text"))
+    kind = R.classify_heading(F.col("text"), rules)
     rows = paragraphs.where(F.trim("text") != "").withColumn("styled_head", R.style_level(F.col("style")).isNotNull()).withColumn("promoted", ~F.col("styled_head") & R.structural_heading(F.col("text")))
     rows = rows.where("styled_head or promoted").withColumn("clause_type", kind)
     w = Window.partitionBy("doc_id")
@@ -176,7 +176,7 @@ def fallback_headings(paragraphs: DataFrame, bold=None) -> DataFrame:
     return paragraphs.withColumn("any", any_styled).withColumn("level", F.when(F.col("any"), styled).when((t != "") & found, 1)).drop("any")
 
 
-def heading_candidates(paragraphs: DataFrame, least: int = 80) -> DataFrame:
+def heading_candidates(paragraphs: DataFrame, least: int = 80, rules: list[tuple[str, str]] = R.HEADINGS) -> DataFrame:
     """(doc_id, idx, seq, heading, clause_type, section_number, candidate): every row that may begin a clause, in one scan.
 
     ``candidate``: ``styled`` by its own style, ``promoted`` by its structure, or ``split`` out of a long paragraph (seq counts
@@ -189,10 +189,10 @@ def heading_candidates(paragraphs: DataFrame, least: int = 80) -> DataFrame:
     own = F.struct(F.lit(None).cast("int").alias("seq"), t.alias("heading"), F.when(R.style_level(F.col("style")).isNotNull(), "styled").when(R.structural_heading(t), "promoted").alias("candidate"))
     rows = paragraphs.select("doc_id", "idx", F.explode(F.concat(split, F.array(own))).alias("x")).select("doc_id", "idx", "x.*")
     rows = rows.where("heading <> '' and candidate is not null").withColumn("heading", F.when((F.col("candidate") != "split") | R.structural_heading(F.col("heading")), F.col("heading")))
-    return rows.withColumn("clause_type", F.when(F.col("heading").isNotNull(), R.classify_heading(F.col("heading")))).withColumn("section_number", R.section_number(F.col("heading")))
+    return rows.withColumn("clause_type", F.when(F.col("heading").isNotNull(), R.classify_heading(F.col("heading"), rules))).withColumn("section_number", R.section_number(F.col("heading")))
 
 
-def chained_clauses(paragraphs: DataFrame) -> DataFrame:
+def chained_clauses(paragraphs: DataFrame, rules: list[tuple[str, str]] = R.HEADINGS) -> DataFrame:
     """(doc_id, idx, seq, ordinal, heading, clause_type, section_number, promoted, outcome): each document's clauses after the
     whole chain of fallbacks.
 
@@ -204,7 +204,7 @@ def chained_clauses(paragraphs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id")
     kind = F.col("candidate")
     tells = lambda *kinds: F.coalesce(F.bool_or(kind.isin(*kinds) & (F.col("clause_type") != "general")).over(w), F.lit(False))
-    rows = heading_candidates(paragraphs).select("*", F.bool_or(kind == "split").over(w).alias("was_split"), F.bool_or(kind == "styled").over(w).alias("any_styled"), tells("styled").alias("one"), tells("styled", "promoted", "split").alias("two"), tells("styled", "promoted").alias("three"))
+    rows = heading_candidates(paragraphs, rules=rules).select("*", F.bool_or(kind == "split").over(w).alias("was_split"), F.bool_or(kind == "styled").over(w).alias("any_styled"), tells("styled").alias("one"), tells("styled", "promoted", "split").alias("two"), tells("styled", "promoted").alias("three"))
     outcome = F.when(F.col("one"), "styled").when(F.col("was_split") & F.col("two"), "split").when(F.col("three"), "promoted").otherwise("rest")
     rows = rows.withColumn("outcome", outcome).where("heading is not null")
     kept = (kind == "styled") | (kind == "promoted") & (F.col("outcome").isin("split", "promoted") | (F.col("outcome") == "rest") & ~F.col("any_styled")) | (kind == "split") & (F.col("outcome") == "split")

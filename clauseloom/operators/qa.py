@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import staged
+
 
 def scope(ids: Column) -> Column:
     return F.when(F.size(ids) == 1, "single_document").otherwise("repository")
@@ -25,6 +27,19 @@ def provenance(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select("query_id", nodes.alias("nodes")).select("query_id", "nodes", F.size("nodes").alias("node_count"), F.exists("nodes", lambda n: n["node_type"] == "fact").alias("has_facts"))
 
 
+#: How kinds of provenance nodes are shown.
+LABELS = {"fact": "Fact", "binding": "Binding", "inference": "Inference", "external": "External Source", "reasoning": "Reasoning"}
+
+
+def shown_provenance(chains: DataFrame) -> DataFrame:
+    """Of ``provenance`` rows, or any with ``nodes`` of node_type and reference_id: (query_id, labels, node_count, has_facts,
+    has_inferences); a node of no known kind is ``Unknown``."""
+    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    has = lambda kind: F.exists("nodes", lambda n: n["node_type"] == kind)
+    labels = F.transform("nodes", lambda n: F.coalesce(names[n["node_type"]], F.lit("Unknown")))
+    return chains.select("query_id", labels.alias("labels"), F.size("nodes").alias("node_count"), has("fact").alias("has_facts"), has("inference").alias("has_inferences"))
+
+
 def context(bindings: DataFrame, facts: DataFrame, limit: int = 80) -> DataFrame:
     """(doc_id, context): a document's bindings, then its first ``limit`` facts, one a line."""
     first = facts.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("k") <= limit)
@@ -148,14 +163,26 @@ def calibration(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.least(F.floor(F.col("confidence") * 10), F.lit(9)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("right_n"))
 
 
-def family(edges: DataFrame, hops: int = 6) -> DataFrame:
-    """(root, doc_id, depth) reachable from parents over (parent, child) edges, each document at its least depth."""
-    out = edges.select(F.col("parent").alias("root"), F.col("child").alias("doc_id"), F.lit(1).alias("depth"))
-    front = out
-    for d in range(2, hops + 1):
-        front = front.join(edges, front["doc_id"] == edges["parent"]).select("root", F.col("child").alias("doc_id"), F.lit(d).alias("depth"))
-        out = out.unionByName(front)
-    return out.groupBy("root", "doc_id").agg(F.min("depth").alias("depth"))
+def family(edges: DataFrame, hops: int | None = None, together: int = 8) -> DataFrame:
+    """(root, doc_id, depth) reachable from parents over (parent, child) edges, each document at its least depth.
+
+    Semi-naive: a round follows the edges of what the round before found first, drops pairs that are known already, and
+    stages the rest; it ends when none is new, so depth needs no bound and cycles and diamonds cost nothing. ``hops`` stops
+    earlier. Every ``together`` rounds the pairs found so far are written to one table, so plans stay short.
+    """
+    edges = staged(edges.select("parent", "child").where("parent is not null and child is not null").distinct(), "edges")
+    known = front = staged(edges.select(F.col("parent").alias("root"), F.col("child").alias("doc_id"), F.lit(1).alias("depth")), "family")
+    depth = 1
+    while hops is None or depth < hops:
+        depth += 1
+        step = front.select("root", F.col("doc_id").alias("parent")).join(edges, "parent").select("root", F.col("child").alias("doc_id")).distinct()
+        front = staged(step.join(known, ["root", "doc_id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if not front.take(1):
+            break
+        known = known.unionByName(front)
+        if depth % together == 0:
+            known = staged(known, "family")
+    return known
 
 
 def term_history(rows: DataFrame) -> DataFrame:

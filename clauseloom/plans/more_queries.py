@@ -239,7 +239,7 @@ def s2_calibration(spark, d):
 SELECT root, doc_id, CAST(min(depth) AS BIGINT) AS depth FROM f GROUP BY root, doc_id""")
 def s3_contract_family(spark, d):
     edges = C.tables(spark, d, "customer")[0].where("c_custkey > 0").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 3).alias("parent"))
-    return qa.family(edges)
+    return qa.family(edges, 6)
 
 
 @query("SELECT o_custkey AS family, o_orderpriority AS topic, o_orderkey AS doc_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE o_orderstatus WHEN 'P' THEN 3 WHEN 'O' THEN 2 ELSE 1 END DESC, o_orderdate DESC, o_orderkey) = 1")

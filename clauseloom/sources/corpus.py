@@ -94,7 +94,8 @@ def word_count(text):
 
 
 def labelled_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True)
+    """Rows of tab-separated lines under a head; a field in quotes may hold tabs, and a doubled quote in it is one."""
+    return spark.read.csv(path, sep="\t", header=True, escape='"')
 
 
 def sample_manifest(spark: SparkSession, path: str) -> DataFrame:
