@@ -479,6 +479,8 @@ def _best(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Whether a pair's count is the highest of its B id's; all pairs of the B ids are there."""
     b = pairs & np.uint32((1 << B_BITS) - 1)
     order = np.lexsort((counts, b))
+    if not len(order):
+        return np.zeros(0, bool)
     last = np.r_[b[order][1:] != b[order][:-1], True]
     most = np.zeros(1 << B_BITS, "i8")
     most[b[order][last]] = counts[order][last]
