@@ -7,12 +7,12 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +72,7 @@ class Tokens:
     def at(cls, a_path: str, b_path: str) -> Tokens:
         if (a_path, b_path) not in cls._made:
             cls._made[a_path, b_path] = cls(a_path, b_path)
+            give_back()  # what reading the vocabularies took
         return cls._made[a_path, b_path]
 
     @cached_property
@@ -245,39 +246,43 @@ def _packet(number: int, rows: list[tuple], entries: list[Entry], uses: list[np.
     return pa.RecordBatch.from_arrays([pa.array([number])] + [pa.array([np.asarray(c).astype(kind).tobytes()], pa.binary()) for c, (_, kind) in zip(columns, _FIELDS)] + [pa.array([shas], pa.list_(pa.string()))], names=["packet"] + [n for n, _ in _FIELDS] + ["shas"])
 
 
-def _slices(batch: pa.RecordBatch, limit: int = PACKET) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype("i8"))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int = PACKET) -> Iterator[list]:
+    """Rows (doc_id, text) of several batches together, about ``limit`` bytes at a time."""
+    rows, size = [], 0
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            rows.append((doc, text))
+            size += len(text)
+            if size >= limit:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
 
 
 def _short(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
     """Whole texts: one packet for some megabytes."""
     tokens, number = Tokens.at(a_path, b_path), TaskContext.get().partitionId() << 33
-    for batch in batches:
-        for rows in _slices(batch):
-            split = [units(t) if t else [] for t in rows["text"].to_pylist()]
-            index = {u: k for k, u in enumerate(dict.fromkeys(u for x in split for u in x))}
-            known = tokens.all(index.keys())
-            entries = [known[u] for u in index]
-            bad = {k for k, e in enumerate(entries) if e is None}
-            entries = [e or NOTHING for e in entries]
-            texts, uses, shas = [e.text for e in entries], [], []
-            for x in split:
-                use = [index[u] for u in x]
-                if bad and not bad.isdisjoint(use):
-                    use = []
-                uses.append(np.array(use, "i8"))
-                shas.append(hashlib.sha256(";".join([texts[k] for k in use]).encode()).hexdigest() if use else "")
-            packet = _packet(number, [(d, -1) for d in rows["doc_id"].to_pylist()], entries, uses, shas)
-            del split, index, entries, texts, uses, shas
-            tokens.forget()
-            give_back()
-            yield packet
-            number += 1
+    for rows in _gathered(batches):
+        split = [units(t) if t else [] for _, t in rows]
+        index = {u: k for k, u in enumerate(dict.fromkeys(u for x in split for u in x))}
+        known = tokens.all(index.keys())
+        entries = [known[u] for u in index]
+        bad = {k for k, e in enumerate(entries) if e is None}
+        entries = [e or NOTHING for e in entries]
+        texts, uses, shas = [e.text for e in entries], [], []
+        for x in split:
+            use = [index[u] for u in x]
+            if bad and not bad.isdisjoint(use):
+                use = []
+            uses.append(np.array(use, "i8"))
+            shas.append(hashlib.sha256(";".join([texts[k] for k in use]).encode()).hexdigest() if use else "")
+        packet = _packet(number, [(d, -1) for d, _ in rows], entries, uses, shas)
+        del split, index, entries, texts, uses, shas
+        tokens.forget()
+        give_back()
+        yield packet
+        number += 1
 
 
 SEGMENTS = "key long, doc_id long, segment long, text string"
@@ -535,6 +540,18 @@ def _totals(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c.filled(0), kind, mask=np.ma.getmaskarray(c)) if isinstance(c, np.ma.MaskedArray) else pa.array(c, kind) for c, kind in zip(columns, kinds)], names=[c.split(" ")[0] for c in RESULT.split(", ")])
 
 
+@contextmanager
+def rows_in_batches(spark, rows: int):
+    """While it lasts, tables go to Python in batches of at most ``rows``, so that a batch of texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, slices: int = 128, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -550,11 +567,13 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.octet_length("text") > segment
-    packets = stage(rows.where(~long).mapInArrow(tidy(lambda it: _short(it, a_path, b_path)), PACKED), "packets")
+    with rows_in_batches(docs.sparkSession, 1000):
+        packets = stage(rows.where(~long).mapInArrow(tidy(lambda it: _short(it, a_path, b_path)), PACKED), "packets")
     hashes = None
     segments = stage(rows.where(long).mapInArrow(lambda it: _cut(it, segment), SEGMENTS), "segments")
     if segments.take(1):
-        parts = stage(segments.repartition("key", "segment").mapInArrow(tidy(lambda it: _fragments(it, a_path, b_path)), FRAGMENTS), "fragments")
+        with rows_in_batches(docs.sparkSession, 100):
+            parts = stage(segments.repartition("key", "segment").mapInArrow(tidy(lambda it: _fragments(it, a_path, b_path)), FRAGMENTS), "fragments")
         known = parts.groupBy("key").agg(F.min("fine").alias("fine"), F.max("segment").alias("last"), F.max("doc_id").alias("doc_id"))
         known = stage(known, "long-texts")
         good = known.where("fine").select("key")
