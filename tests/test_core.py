@@ -43,10 +43,6 @@ def test_query_equals_its_sql(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
-def test_query_without_sql_has_rows(spark, name):
-    assert core.QUERIES[name](spark, SF).take(1)
-
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
