@@ -130,6 +130,17 @@ def prompts(facts: DataFrame, limit: int = 60, cut: int = 100) -> DataFrame:
     return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def triage_prompts(facts: DataFrame, clauses: DataFrame, limit: int = 50, cut: int = 200) -> DataFrame:
+    """(doc_id, facts_text, clauses_text): a document's first ``limit`` facts (fact_id, value, char_start, char_end, ordinal) with
+    their place, values cut, and its clauses (ordinal, clause_type, heading), one a line; empty where it has none."""
+    lines = lambda df, order, line, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias(name))
+    first = facts.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("k") <= limit)
+    told = F.format_string("- [%s] (characters %d-%d): %s", "fact_id", "char_start", "char_end", F.left("value", F.lit(cut)))
+    named = F.format_string("- [k:%d] %s: %s", "ordinal", "clause_type", "heading")
+    both = lines(first, "k", told, "facts_text").join(lines(clauses, "ordinal", named, "clauses_text"), "doc_id", "full_outer")
+    return both.na.fill("", ["facts_text", "clauses_text"])
+
+
 def ranking_scores(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query: precision, recall, F1, reciprocal rank, average precision and NDCG of the first ``k`` of (query_id, rank,
     relevant); ``relevant`` has (query_id, total). Their means over the queries are P@k, R@k, F1@k, MRR, MAP and NDCG@k."""

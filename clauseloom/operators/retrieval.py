@@ -15,7 +15,9 @@ _NOT_WORD = re.compile(r"[^A-Za-z0-9_]+")
 
 
 def fact_chunks(facts: DataFrame) -> DataFrame:
-    return facts.where(F.length(F.trim("value")) >= 5).select("doc_id", F.lit("fact").alias("chunk_type"), F.concat(F.lit("["), "structural_path", F.lit("] "), "value").alias("text"))
+    """Facts (doc_id, value, char_start, char_end) of five characters or more, with their place before the value."""
+    text = F.format_string("[characters %d-%d] %s", "char_start", "char_end", "value")
+    return facts.where(F.length(F.trim("value")) >= 5).select("doc_id", F.lit("fact").alias("chunk_type"), text.alias("text"))
 
 
 def clause_chunks(clauses: DataFrame) -> DataFrame:

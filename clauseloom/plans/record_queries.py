@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import rules as R
-from ..operators import assess, extract, graph, qa
+from ..operators import assess, extract, graph, qa, retrieval
 from ..sources import corpus as C
 from ..sources.store import VersionedTables, shared_folder, staged
 from . import oracle as O
 from .graph_queries import ALL, BODIES
+from .more_queries import FACTS, facts
 from .queries import _texts, query
 
 _PATH = "concat('in/contract ', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 5 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.txt' ELSE '.pdf' END)"
@@ -179,3 +180,45 @@ def s3_whole_families(spark, d):
     rows = C.tables(spark, d, "customer")[0].where("c_custkey > 0")
     one = lambda df, by: df.select(F.col("c_custkey").cast("long").alias("child"), F.floor(F.col("c_custkey") / by).alias("parent"))
     return qa.family(one(rows, 3).unionByName(one(rows.where("c_custkey % 5 = 0"), 2)))
+
+
+@query(f"WITH {O.CORPUS}, {FACTS} SELECT doc_id, 'fact' AS chunk_type, '[characters ' || char_start || '-' || char_end || '] ' || value AS text FROM facts WHERE length(trim(value)) >= 5")
+def i1_fact_chunks(spark, d):
+    return retrieval.fact_chunks(facts(spark, d))
+
+
+@query(f"""{ALL} SELECT doc_id, fact_id AS node, 'fact' AS kind, left(value, 80) AS label FROM every_fact UNION ALL SELECT doc_id, 'k:' || ordinal, 'clause', heading FROM clauses UNION ALL SELECT doc_id, 'b:' || lower(term), 'binding', term || ' → ' || resolves_to FROM bindings""")
+def h4_reduced_nodes(spark, d):
+    x = graph.complete(C.corpus(spark, d), C.cells(spark, d))
+    return graph.reduced_nodes(x["clauses"], x["facts"], x["bindings"])
+
+
+_hay = """ordered AS (SELECT doc_id, 0 AS kind, ordinal AS a, 0 AS b, value FROM facts UNION ALL SELECT doc_id, 1, row, col, text FROM cells WHERE trim(text) <> '' UNION ALL SELECT doc_id, 2, rank, char_start, entity FROM aliases
+UNION ALL SELECT doc_id, 3, ordinal, 0, heading FROM clauses UNION ALL SELECT doc_id, 4, idx, 0, text FROM bodies2),
+hay AS MATERIALIZED (SELECT doc_id, string_agg(value, ' ' ORDER BY kind, a, b, value) AS text FROM ordered GROUP BY doc_id)"""
+_checks = O.CHECKS.split(", law AS (", 1)[1].replace("FROM corpus LEFT JOIN law", "FROM hay LEFT JOIN law")
+
+
+@query(f"{ALL}, {_hay}, law AS ({_checks} SELECT doc_id, item_id, status, finding FROM checks")
+def l1_l6_checks_of_facts(spark, d):
+    """Triage over what was extracted from a document instead of its text."""
+    cells = C.cells(spark, d)
+    x = graph.complete(C.corpus(spark, d), cells)
+    return assess.triage_checks(staged(graph.haystacks(x, cells), "haystacks"), x["clauses"])
+
+
+@query(f"""WITH {O.CLAUSES}, {FACTS}, f AS (SELECT doc_id, string_agg('- [p:' || ordinal || '] (characters ' || char_start || '-' || char_end || '): ' || left(value, 200), chr(10) ORDER BY ordinal) AS facts_text FROM facts WHERE ordinal < 50 GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg('- [k:' || ordinal || '] ' || clause_type || ': ' || heading, chr(10) ORDER BY ordinal) AS clauses_text FROM clauses GROUP BY doc_id)
+SELECT doc_id, coalesce(facts_text, '') AS facts_text, coalesce(clauses_text, '') AS clauses_text FROM f FULL JOIN c USING (doc_id)""")
+def m6_triage_prompts(spark, d):
+    rows = facts(spark, d).withColumn("fact_id", F.concat(F.lit("p:"), "ordinal"))
+    return qa.triage_prompts(rows, extract.clauses(C.paragraphs(C.corpus(spark, d))))
+
+
+@query("SELECT user_id, CAST(count(*) FILTER (event_id % 3 = 0) AS BIGINT) AS cleared, CAST(count(*) FILTER (event_id % 3 <> 0) AS BIGINT) AS left_rows FROM events GROUP BY user_id")
+def g11_cleared_sessions(spark, d):
+    """Sessions of a list are cleared; by workspace, how many went and how many are left."""
+    rows = C.tables(spark, d, "events")[0].select("user_id", "event_id")
+    gone = rows.where("event_id % 3 = 0").select("event_id", F.lit(True).alias("gone"))
+    marked = rows.join(gone, "event_id", "left")
+    return marked.groupBy("user_id").agg(F.count_if("gone").alias("cleared"), F.count_if(F.col("gone").isNull()).alias("left_rows"))
