@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import stage, tidy
+from .common import lookup, stage, tidy
 from .ngram_join import _STEP, _mix, _power
 
 #: Bytes of text whose words are lists at one time, and runs that one packet holds at least.
@@ -264,10 +264,10 @@ def repeated_words(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     answered = packets.join(F.broadcast(answers) if total / 8 <= BROADCAST_BYTES else answers, "packet")
     found = stage(answered.mapInArrow(tidy(lambda it: _flagged(it, bits)), "anchor long, digest long, rank long, proof long, start int, n int"), "found")
 
-    kinds = found.groupBy("anchor", "digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("most") > F.col("least")).alias("copied")).where("kinds > 1 or copied")
+    kinds = stage(found.groupBy("anchor", "digest").agg(F.min("rank").alias("least"), F.max("rank").alias("most")), "kinds")
+    several = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("mixed"), F.max(F.col("most") > F.col("least")).alias("copied"))
     # anchors that one run alone has, false alarms of the sketch among them, end here
-    known = stage(kinds.join(several.select("anchor", F.col("kinds") > 1), "anchor").withColumnRenamed("(kinds > 1)", "mixed"), "kinds")
+    known = lookup(kinds, stage(several.where("mixed or copied").select("anchor", "mixed"), "several"), "anchor").where("mixed is not null")
     judged = found.join(known.where("mixed or most > least"), ["anchor", "digest"]).select("anchor", "rank", "proof", "start", "n", (F.col("rank") > F.col("least")).alias("copy"), "mixed")
     judged = stage(judged, "judged")
     copies = judged.where("copy").select("rank", "proof", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
