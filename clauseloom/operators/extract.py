@@ -127,9 +127,13 @@ def bindings(docs: DataFrame) -> DataFrame:
 def resolve_chain(bound: DataFrame, hops: int = 5) -> DataFrame:
     """(doc_id, term, meaning, hops): follow a meaning that is itself a term, at most ``hops`` times, never twice through one.
 
-    A document's bindings form one map, which is followed inside the row: no join."""
+    A document's bindings form one map, which is followed inside the row: no join. Rows without a term or a meaning are left
+    out; of a term that is there twice, whatever its case, the least meaning is followed."""
     key = F.lower("term")
-    held = bound.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "resolves_to"))).alias("known"), F.collect_list(F.struct("term", "resolves_to")).alias("all"))
+    bound = bound.where("term is not null and resolves_to is not null")
+    held = bound.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(key.alias("key"), "resolves_to"))).alias("pairs"), F.collect_list(F.struct("term", "resolves_to")).alias("all"))
+    first = F.filter("pairs", lambda p, i: (i == 0) | (F.get("pairs", i - 1)["key"] != p["key"]))
+    held = held.withColumn("known", F.map_from_entries(first))
     rows = held.select("doc_id", "known", F.explode("all").alias("x"))
     start = F.struct(F.col("x.resolves_to").alias("meaning"), F.array(F.lower("x.term")).alias("seen"), F.lit(1).alias("hops"))
 

@@ -222,7 +222,9 @@ def p4_streamed_triage(spark, d):
 def q2_sql_functions(spark, d):
     R.register(spark)
     rows = C.tables(spark, d, "lineitem")[0]
-    return spark.sql("SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS n, risk_level(l_linenumber * 3D) AS level, confidence_label(l_tax) AS label FROM {rows}", rows=rows)
+    out = spark.sql("SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS n, risk_level(l_linenumber * 3D) AS level, confidence_label(l_tax) AS label FROM {rows}", rows=rows)
+    R.unregister(spark)  # the plan has them resolved
+    return out
 
 
 @query(f"WITH {NEAR} SELECT query_id, CAST(count(*) FILTER (rank <= 10 AND label = own) AS BIGINT) AS hits, CAST(coalesce(min(rank) FILTER (label = own), -1) AS BIGINT) AS first, round(sum(CASE WHEN rank <= 10 AND label = own THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS dcg FROM near WHERE rank <= 10 GROUP BY query_id")

@@ -143,7 +143,9 @@ def q1_own_rules(spark, d):
 @query(f"WITH {O.CORPUS}, s AS ({O.spans(2)}) SELECT doc_id, n, char_start AS start, char_start + size AS stop, match FROM s")
 def q2_spans_in_sql(spark, d):
     R.register_spans(spark)
-    return spark.sql(f"SELECT doc_id, s.* FROM {{docs}}, LATERAL spans(text, r'{P.SECTION}') s", docs=C.corpus(spark, d).select("doc_id", "text"))
+    out = spark.sql(f"SELECT doc_id, s.* FROM {{docs}}, LATERAL spans(text, r'{P.SECTION}') s", docs=C.corpus(spark, d).select("doc_id", "text"))
+    R.unregister(spark)  # the plan has it resolved
+    return out
 
 
 #: Tables that keys are looked up in: source, document id, second key, value.

@@ -110,6 +110,8 @@ def test_term_chain_stops_at_cycles(spark):
     rows = spark.createDataFrame([(1, "A", "b"), (1, "B", "c"), (1, "C", "a"), (1, "D", "meaning")], "doc_id long, term string, resolves_to string")
     got = {r["term"]: (r["meaning"], r["hops"]) for r in extract.resolve_chain(rows).collect()}
     assert got == {"A": ("a", 3), "B": ("b", 3), "C": ("c", 3), "D": ("meaning", 1)}
+    rows = spark.createDataFrame([(1, "A", "x"), (1, "a", "b"), (1, None, "n"), (1, "B", None), (1, "Z", "A")], "doc_id long, term string, resolves_to string")
+    assert sorted((r["term"], r["meaning"], r["hops"]) for r in extract.resolve_chain(rows).collect()) == [("A", "x", 1), ("Z", "b", 2), ("a", "b", 1)]
 
 
 def test_replies(spark):
