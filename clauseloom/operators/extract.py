@@ -268,49 +268,53 @@ def body_paragraphs(paragraphs: DataFrame, clauses: DataFrame) -> DataFrame:
     return rows.join(clauses.where(~F.col("promoted")).select("doc_id", F.col("idx").alias("head"), "ordinal"), ["doc_id", "head"]).select("doc_id", "ordinal", "idx", "text")
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sweeper():
     """Rows sorted by document and place: facts where they begin, wanted spans where they end.
 
     Of the facts that began so far only those count that no other outlasts with an earlier ordinal; by end their ordinals
     rise, so the first that reaches a wanted span's start is its fact. A span without one waits for the next fact.
     """
-    doc, ends, ordinals, names, last, waiting = None, [], [], [], None, []
-    for batch in batches:
-        out: list[tuple] = []
-
-        def settle(fact=None):
-            for key, start, end, before in waiting:
-                choices = [(start - before[0], before[1], before[2])] if before else []
-                if fact:
-                    choices.append((fact[0] - end, fact[1], fact[2]))
-                out.append((doc, key, min(choices)[2] if choices else "unknown"))
-            waiting.clear()
-
-        for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "kind", "ordinal", "char_start", "char_end", "name"))):
-            if row[0] != doc:
-                settle()
-                doc, ends, ordinals, names, last = row[0], [], [], [], None
-            _, kind, ordinal, start, end, name = row
-            if kind:
-                at = bisect_left(ends, start)
-                if at < len(ends):
-                    out.append((doc, name, names[at]))
-                else:
-                    waiting.append((name, start, end, last))
-                continue
-            settle((start, ordinal, name))
-            if last is None or (end, -ordinal) > (last[0], -last[1]):
-                last = (end, ordinal, name)
-            at = bisect_left(ends, end)
-            if at < len(ends) and ordinals[at] <= ordinal:
-                continue  # one that ends no sooner comes first
-            upto = at + (at < len(ends) and ends[at] == end)
-            begin = bisect_left(ordinals, ordinal, 0, at)
-            ends[begin:upto], ordinals[begin:upto], names[begin:upto] = [end], [ordinal], [name]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "key", "fact"])
-    if waiting:
-        rows = [(doc, key, before[2] if before else "unknown") for key, _, _, before in waiting]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "key", "fact"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, ends, ordinals, names, last, waiting = None, [], [], [], None, []
+        for batch in batches:
+            out: list[tuple] = []
+
+            def settle(fact=None):
+                for key, start, end, before in waiting:
+                    choices = [(start - before[0], before[1], before[2])] if before else []
+                    if fact:
+                        choices.append((fact[0] - end, fact[1], fact[2]))
+                    out.append((doc, key, min(choices)[2] if choices else "unknown"))
+                waiting.clear()
+
+            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "kind", "ordinal", "char_start", "char_end", "name"))):
+                if row[0] != doc:
+                    settle()
+                    doc, ends, ordinals, names, last = row[0], [], [], [], None
+                _, kind, ordinal, start, end, name = row
+                if kind:
+                    at = bisect_left(ends, start)
+                    if at < len(ends):
+                        out.append((doc, name, names[at]))
+                    else:
+                        waiting.append((name, start, end, last))
+                    continue
+                settle((start, ordinal, name))
+                if last is None or (end, -ordinal) > (last[0], -last[1]):
+                    last = (end, ordinal, name)
+                at = bisect_left(ends, end)
+                if at < len(ends) and ordinals[at] <= ordinal:
+                    continue  # one that ends no sooner comes first
+                upto = at + (at < len(ends) and ends[at] == end)
+                begin = bisect_left(ordinals, ordinal, 0, at)
+                ends[begin:upto], ordinals[begin:upto], names[begin:upto] = [end], [ordinal], [name]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "key", "fact"])
+        if waiting:
+            rows = [(doc, key, before[2] if before else "unknown") for key, _, _, before in waiting]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "key", "fact"])
+
+    return sweep
 
 
 def nearest_fact(wanted: DataFrame, facts: DataFrame) -> DataFrame:
@@ -319,7 +323,7 @@ def nearest_fact(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     grows with their sum and not their product; the sweep holds a few facts at a time."""
     place = lambda df, kind, name, at, ordinal: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(kind).alias("kind"), ordinal.cast("long").alias("ordinal"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.col(name).alias("name"), F.col(at).cast("long").alias("place"))
     rows = place(facts, 0, "fact", "char_start", F.col("ordinal")).unionByName(place(wanted, 1, "key", "char_end", F.lit(0)))
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "place", "kind", "ordinal").mapInArrow(_sweep, "doc_id long, key string, fact string")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "place", "kind", "ordinal").mapInArrow(_sweeper(), "doc_id long, key string, fact string")
 
 
 def font_levels(blocks: DataFrame, spans: DataFrame) -> DataFrame:
