@@ -24,10 +24,18 @@ def unescape(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)\\(.)", "$1")
 
 
+def _inside(x: Column) -> Column:
+    """``x`` within the marks of an attachment, where a space and ``>`` are escaped too."""
+    x = escape(F.coalesce(x, F.lit("")))
+    for c in (" ", ">"):
+        x = F.replace(x, F.lit(c), F.lit("\\" + c))
+    return x
+
+
 def _visit(part: Column) -> Column:
     """The text that stands for one part: text escaped, an attachment as ``<type ref>``, which no escaped text can hold."""
     text = escape(F.coalesce(part["text"], F.lit("")))
-    return F.when(F.coalesce(part["type"], F.lit("text")) == "text", text).otherwise(F.concat(F.lit("<"), part["type"], F.lit(" "), escape(F.coalesce(part["ref"], F.lit(""))), F.lit(">")))
+    return F.when(F.coalesce(part["type"], F.lit("text")) == "text", text).otherwise(F.concat(F.lit("<"), _inside(part["type"]), F.lit(" "), _inside(part["ref"]), F.lit(">")))
 
 
 def _tokens(part: Column) -> Column:
@@ -87,6 +95,24 @@ def parse_chats(chats: DataFrame) -> DataFrame:
     return chats.withColumn("_parts", segments(F.col("formatted"))).withColumn("turns", parsed).withColumn("loss_text", F.array_join(under, "")).drop("_parts")
 
 
+def read_parts(chats: DataFrame) -> DataFrame:
+    """Adds ``parts`` to formatted conversations: for each turn its parts in order, as (type, text, ref) read back from the text.
+
+    Text parts have no ref and attachments no text. Neighbouring text parts come back as one, empty ones not at all.
+    """
+    body = lambda x: F.regexp_extract(x, r"(?s)^### (?:[^:\\]++|\\.)*+: (.*)$", 1)
+    # with a pair of backslashes written as \b, every < or > after a backslash is an escaped one
+    shown = lambda x: F.replace(body(x), F.lit("\\\\"), F.lit("\\b"))
+    back = lambda x: unescape(F.replace(x, F.lit("\\b"), F.lit("\\\\")))
+    none, mark = F.lit(None).cast("string"), r"(?s)^(.*?)(?<!\\) (.*?)(?<!\\)>(.*)$"
+    part = lambda type, text, ref: F.struct(type.alias("type"), text.alias("text"), ref.alias("ref"))
+    words = lambda x: F.array(part(F.lit("text"), back(x), none))
+    attached = lambda x: F.array(part(back(F.regexp_extract(x, mark, 1)), none, back(F.regexp_extract(x, mark, 2))))
+    piece = lambda x, i: F.when(i == 0, words(x)).otherwise(F.concat(attached(x), words(F.regexp_extract(x, mark, 3))))
+    parts = F.transform(segments(F.col("formatted")), lambda x: F.filter(F.flatten(F.transform(F.split(shown(x), r"(?<!\\)<", -1), piece)), lambda p: F.coalesce(p["text"], F.lit("-")) != ""))
+    return chats.withColumn("parts", parts)
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import lookup, stage
 
-#: Fixed multiplier of the block permutation, the prime 2**31 - 1: coprime to any number of blocks below it.
-STEP = 2147483647
+#: Multipliers of the block permutation, the primes 2**31 - 1 and 2**31 - 19: the second where the first divides the number of blocks.
+STEP, OTHER = 2147483647, 2147483629
+#: Levels of the tree between two spreadings of its nodes over the cluster.
+SPREAD = 8
 
 #: One hypergeometric draw from x = (all, own, take) and u in [0, 1): by inverse cumulative sum over the values within nine
 #: standard deviations of the mode, weights relative to the mode's by the ratio of neighbours, going up first, then down.
@@ -41,6 +43,15 @@ def _split(level: int, seed: int) -> str:
       acc -> acc.left)"""
 
 
+def _permuted(rank, every, seed):
+    """The block at ``rank`` of ``every`` in a source's affine order. Multiplied in two halves, which stay below 2**63 up to 2**46
+    blocks of a source."""
+    step = F.when(F.col(every) % STEP == 0, F.lit(OTHER)).otherwise(F.lit(STEP)).cast("long")
+    high, low = F.shiftright(rank, 16), F.col(rank).bitwiseAND(F.lit(65535))
+    product = F.pmod(F.pmod(high * step, F.col(every)) * 65536 + low * step, F.col(every))
+    return F.pmod(product + F.pmod(F.xxhash64("number", F.lit(seed)), F.col(every)), F.col(every))
+
+
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
     """(source, skey, source_size, weight, target, number) of (source, skey, source_size): water filling under caps.
 
@@ -65,7 +76,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is ``words`` words of the document from ``start``, and a shard is read by order_key. The documents of a source lie in
     hashed order on a line, passed ``epochs`` times at most and cut into blocks of ``block_words``. A binary tree splits the
     numbers of blocks that each source owes, exactly, among 2**k shards: each node gives its left half a multivariate
-    hypergeometric share. A shard then draws its blocks, disjoint from all others', by an affine permutation and orders
+    hypergeometric share, and each node carries the ranks at which its blocks begin, so that no sum over all shards is
+    needed; every eight levels the nodes are spread over the cluster. A shard then draws its blocks, disjoint from all others', by an affine permutation and orders
     its pieces by hash. The same input gives the same mix. Sources are a list with one entry each in every tree node.
 
     Null text or one without words: size 0 and no pieces. A null source is a source of its own. Repeated rows count each
@@ -89,14 +101,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the tree of quotas, in blocks
     depth = max(0, math.ceil(math.log2(max(1, total / shard_words))))
     quota = F.ceil(F.floor(F.col("target") + 0.5) / block_words).cast("long")
-    tree = sizes.agg(F.transform(F.sort_array(F.collect_list(F.struct("number", quota.alias("q")))), lambda s: s["q"]).alias("quota")).select(F.lit(0).cast("long").alias("node"), "quota")
+    listed = sizes.agg(F.transform(F.sort_array(F.collect_list(F.struct("number", quota.alias("q")))), lambda s: s["q"]).alias("quota"))
+    tree = listed.select(F.lit(0).cast("long").alias("node"), "quota", F.transform("quota", lambda q: F.lit(0).cast("long")).alias("first"))
     for level in range(depth):
-        tree = tree.withColumn("left", F.expr(_split(level, seed))).select(F.posexplode(F.array("left", F.zip_with("quota", "left", lambda q, x: q - x))).alias("side", "quota"), (F.col("node") * 2).alias("node")).select((F.col("node") + F.col("side")).alias("node"), "quota")
+        if level and level % SPREAD == 0:  # by now 256 nodes for each one that came from the last spreading
+            tree = stage(tree.repartition("node"), "quotas")
+        half = lambda quota, first: F.struct(quota.alias("quota"), first.alias("first"))
+        left, right = half(F.col("left"), F.col("first")), half(F.zip_with("quota", "left", lambda q, x: q - x), F.zip_with("first", "left", lambda f, x: f + x))
+        tree = tree.withColumn("left", F.expr(_split(level, seed))).select((F.col("node") * 2).alias("node"), F.posexplode(F.array(left, right)).alias("side", "half"))
+        tree = tree.select((F.col("node") + F.col("side")).alias("node"), "half.quota", "half.first")
     tree = stage(tree, "quotas")
-    shares = tree.select(F.col("node").alias("shard"), F.posexplode("quota").alias("number", "blocks"))
-    shares = shares.withColumn("first", F.sum("blocks").over(Window.partitionBy("number").orderBy("shard")) - F.col("blocks")).withColumn("all", F.sum("blocks").over(Window.partitionBy("number"))).where("blocks > 0")
+    shares = tree.select(F.col("node").alias("shard"), F.posexplode(F.arrays_zip("quota", "first")).alias("number", "share")).select("shard", "number", F.col("share.quota").alias("blocks"), F.col("share.first").alias("first"))
+    shares = lookup(shares.where("blocks > 0"), sizes.select("number", quota.alias("all")), "number")
     drawn = shares.select("shard", "number", "all", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("rank"))
-    drawn = drawn.select("shard", "number", F.pmod(F.col("rank") * STEP + F.pmod(F.xxhash64("number", F.lit(seed)), F.col("all")), F.col("all")).alias("block"))
+    drawn = drawn.select("shard", "number", _permuted("rank", "all", seed).alias("block"))
 
     # the part of the line [0, target) that each pass over a document covers, cut at block ends
     goal, size, at = F.floor(F.col("target") + 0.5), F.col("size"), F.col("at") + F.col("epoch") * F.col("source_size")

@@ -332,6 +332,40 @@ def test_mix_pieces_are_disjoint_and_shards_even(docs):
     assert max(shards.values()) - min(shards.values()) <= 16 * 8
 
 
+def test_mix_tree_of_many_shards(docs):
+    """Beyond eight levels the nodes are spread; what is taken stays, and shards still hold equal numbers of disjoint blocks."""
+    deep = dict(block_words=4, shard_words=12)
+    assert Counter(map(tuple, mixing.taken(docs, **deep).collect())) == Counter(map(tuple, mixing.taken(docs).collect()))
+    found = mixing.mix_sources(docs, **deep)[1].collect()
+    seen, shards = set(), Counter()
+    for p in found:
+        words = {(p["row"], p["epoch"], p["start"] + k) for k in range(p["words"])}
+        assert not words & seen
+        seen |= words
+        shards[p["shard"]] += p["words"]
+    assert max(shards) >= 2**mixing.SPREAD and max(shards.values()) <= 4 * (math.ceil(sum(shards.values()) / 4 / (max(shards) + 1)) + 2)
+
+
+def test_mix_of_one_source_with_repeats_and_no_words(spark):
+    data = [(1, "a b c", None), (1, "a b c", None), (None, "d", None), (2, None, None), (3, " ", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("block", F.lit(1))
+    got = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.taken(df).collect()]
+    assert Counter(got) == Counter([(1, 3, 7, 7.0, 3)] * 2 + [(None, 1, 7, 7.0, 1), (2, 0, 7, 7.0, 0), (3, 0, 7, 7.0, 0)])
+
+
+def test_block_order_is_a_permutation_for_any_number_of_blocks(spark):
+    for every in (1, 2, 7, 1000, 65537):
+        df = spark.range(every).select(F.col("id").alias("rank"), F.lit(every).cast("long").alias("all"), F.lit(3).alias("number"))
+        assert {r[0] for r in df.select(mixing._permuted("rank", "all", 17)).collect()} == set(range(every))
+    many = [2**45 + 11, 2**46 - 1, 3 * mixing.STEP]
+    data = [(n - k, n, 3) for n in many for k in (1, 2, 99999)] + [(0, n, 3) for n in many]
+    df = spark.createDataFrame(data, "rank long, all long, number int")
+    got = {(r["rank"], r["all"]): r["b"] for r in df.select("rank", "all", mixing._permuted("rank", "all", 17).alias("b")).collect()}
+    for (rank, every), b in got.items():
+        step = mixing.OTHER if every % mixing.STEP == 0 else mixing.STEP
+        assert b == (rank * step + got[0, every]) % every
+
+
 def test_hypergeometric_draws(spark):
     x = "named_struct('total', 30L, 'own', 12L, 'take', 11L)"
     df = spark.range(8000).select(F.expr(x).alias("x"), F.rand(3).alias("u"), F.lit(0).alias("z")).select(F.expr(mixing._DRAW).alias("d"))
@@ -367,6 +401,33 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0), F.col("parts")).count() == 0
 
 
+def test_chat_parts_are_read_back(spark):
+    rng = random.Random(9)
+    odd = ["<", ">", " ", "\\", "\\b", "#", ":", "b", "image", " </turn>\n", "###", "\n", "é"]
+    word = lambda n: "".join(rng.choice(odd) for _ in range(rng.randint(0, n)))
+    data, wanted = [], {}
+    for conv in range(60):
+        for turn in range(3):
+            parts = [("text", word(8), None) if rng.random() < 0.5 else (word(3) or "image", None, word(6)) for _ in range(rng.randint(0, 5))]
+            data.append((conv, turn, word(3), [(t, x, r, None, None, None, None) for t, x, r in parts]))
+            joined = []
+            for t, x, r in parts:
+                if t != "text":
+                    joined.append((t, None, r))
+                elif x and joined and joined[-1][0] == "text":
+                    joined[-1] = ("text", joined[-1][1] + x, None)
+                elif x:
+                    joined.append((t, x, None))
+            wanted[conv, turn] = joined
+    data.append((-1, 0, None, [("text", "x <" * 200_000, None, None, None, None, None), ("image", None, None, None, None, None, None)]))
+    wanted[-1, 0] = [("text", "x <" * 200_000, None), ("image", None, "")]
+    df = spark.createDataFrame(data, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    for r in chat_format.read_parts(chat_format.format_chats(df, F.col("parts"))).collect():
+        for turn, parts in enumerate(r["parts"]):
+            assert [tuple(p) for p in parts] == wanted[r["conv_id"], turn]
+        assert len(r["parts"]) == sum(k == r["conv_id"] for k, _ in wanted)
+
+
 # --- 9
 
 
