@@ -33,7 +33,7 @@ def a6_manifest_with_errors(spark, d):
     unknown = unknown.withColumn("file_format", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).withColumnRenamed("reason", "error")
     good, blank = known.where("text is not null and trim(text) <> ''"), known.where("text is null or trim(text) = ''").withColumn("error", F.lit("no text"))
     columns = ["doc_id", "path", "file_format", "text"]
-    found = graph.complete(good, C.cells(spark, d).join(good.select("doc_id"), "doc_id", "left_semi"))
+    found = graph.complete(good, C.cells(spark, d).join(good.select("doc_id"), "doc_id", "left_semi"), texts=False)
     out = graph.manifest(good.select(*columns), blank.select(*columns, "error").unionByName(unknown.select(*columns, "error")), found)
     return out.withColumn("parties", F.array_join("parties", "|"))
 
@@ -42,7 +42,7 @@ def a6_manifest_with_errors(spark, d):
 SELECT doc_id, CAST(signed AS VARCHAR) AS signed, CAST(coalesce(f.n, 0) AS BIGINT) AS facts, CAST(coalesce(c.n, 0) AS BIGINT) AS clauses, CAST(coalesce(b.n, 0) AS BIGINT) AS bindings FROM corpus LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def g6_contracts_with_counts(spark, d):
     docs = C.corpus(spark, d)
-    x = graph.complete(docs, C.cells(spark, d))
+    x = graph.complete(docs, C.cells(spark, d), texts=False)
     return graph.counts(docs, facts=x["facts"], clauses=x["clauses"], bindings=x["bindings"]).join(docs.select("doc_id", F.col("signed").cast("string").alias("signed")), "doc_id")
 
 
@@ -191,7 +191,7 @@ def i1_fact_chunks(spark, d):
 
 @query(f"""{ALL} SELECT doc_id, fact_id AS node, 'fact' AS kind, left(value, 80) AS label FROM every_fact UNION ALL SELECT doc_id, 'k:' || ordinal, 'clause', heading FROM clauses UNION ALL SELECT doc_id, 'b:' || lower(term), 'binding', term || ' → ' || resolves_to FROM bindings""")
 def h4_reduced_nodes(spark, d):
-    x = graph.complete(C.corpus(spark, d), C.cells(spark, d))
+    x = graph.complete(C.corpus(spark, d), C.cells(spark, d), texts=False)
     return graph.reduced_nodes(x["clauses"], x["facts"], x["bindings"])
 
 
@@ -205,7 +205,7 @@ _checks = O.CHECKS.split(", law AS (", 1)[1].replace("FROM corpus LEFT JOIN law"
 def l1_l6_checks_of_facts(spark, d):
     """Triage over what was extracted from a document instead of its text."""
     cells = C.cells(spark, d)
-    x = graph.complete(C.corpus(spark, d), cells)
+    x = graph.complete(C.corpus(spark, d), cells, texts=False)
     return assess.triage_checks(staged(graph.haystacks(x, cells), "haystacks"), x["clauses"])
 
 

@@ -155,3 +155,19 @@ def test_empty_inputs(spark):
     texts = extract.clause_texts(p, extract.clauses(p))
     for df in (extract.spans(docs), extract.bindings(docs), extract.cross_references(texts), assess.risk_profile(assess.findings(docs, texts, assess.playbook(spark)))):
         assert df.count() == 0
+
+
+def test_first_tellers_meet_only_their_slots(spark):
+    """Each slot is filled by its first fact; a fact that tells of none gives no row, and a null value tells of none."""
+    facts = spark.createDataFrame([(1, 2, "Late fee"), (1, 1, "due in 30 DAYS"), (1, 0, "nothing"), (2, 0, None), (2, 1, "x")], "doc_id long, ordinal int, value string")
+    found = {(r["doc_id"], r["fact_spec"]): r["filled_by"] for r in extract.first_tellers(facts, {"notice": ["notice", "days"], "fee": ["fee"], "schedule": ["due", "late"]}).collect()}
+    assert found == {(1, "notice"): "due in 30 DAYS", (1, "fee"): "Late fee", (1, "schedule"): "due in 30 DAYS"}
+
+
+def test_extraction_without_texts_stages_none(spark, monkeypatch):
+    from clauseloom.operators import graph
+
+    names, cells = [], spark.createDataFrame([], "doc_id long, row int, col int, text string")
+    monkeypatch.setattr(graph, "staged", lambda df, name: names.append(name) or df)
+    found = graph.complete(spark.createDataFrame([(1, True, "1. FEES\nUSD 5.")], "doc_id long, styled boolean, text string"), cells, texts=False)
+    assert "clause-texts" not in names and not {"texts", "references", "slots"} & set(found)
