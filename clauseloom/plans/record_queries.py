@@ -213,8 +213,7 @@ def l1_l6_checks_of_facts(spark, d):
 c AS (SELECT doc_id, string_agg('- [k:' || ordinal || '] ' || clause_type || ': ' || heading, chr(10) ORDER BY ordinal) AS clauses_text FROM clauses GROUP BY doc_id)
 SELECT doc_id, coalesce(facts_text, '') AS facts_text, coalesce(clauses_text, '') AS clauses_text FROM f FULL JOIN c USING (doc_id)""")
 def m6_triage_prompts(spark, d):
-    rows = facts(spark, d).withColumn("fact_id", F.concat(F.lit("p:"), "ordinal"))
-    return qa.triage_prompts(rows, extract.clauses(extract.outline(C.corpus(spark, d))))
+    return qa.held_triage_prompts(extract.gathered(C.corpus(spark, d), chain=False))
 
 
 @query("SELECT user_id, CAST(count(*) FILTER (event_id % 3 = 0) AS BIGINT) AS cleared, CAST(count(*) FILTER (event_id % 3 <> 0) AS BIGINT) AS left_rows FROM events GROUP BY user_id")
