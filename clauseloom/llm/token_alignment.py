@@ -23,6 +23,8 @@ from .ngram_join import _STEP, _mix
 #: Bits of a B id in a pair's number, bytes of text in a packet, bytes above which a text is cut into segments, segments that
 #: one step of the tree composes, units that a worker keeps, and bytes of a unit above which the slower encoder takes over.
 B_BITS, PACKET, SEGMENT, FAN, KEPT_UNITS, LONG_UNIT = 15, 2_000_000, 65_536, 8, 100_000, 10_000
+#: Packets, and segments with their fragments, that a row group and a batch for Python hold: some ten megabytes, whatever a task reads.
+PACKETS_HELD, SEGMENTS_HELD = 4, 100
 #: Bytes of the table of pair counts up to which every executor gets all of it; beyond that, each packet asks for its own pairs.
 BROADCAST_BYTES = 32_000_000
 
@@ -567,13 +569,15 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.octet_length("text") > segment
-    with rows_in_batches(docs.sparkSession, 1000):
-        packets = stage(rows.where(~long).mapInArrow(tidy(lambda it: _short(it, a_path, b_path)), PACKED), "packets")
+    spark = docs.sparkSession
+    with rows_in_batches(spark, 1000):
+        packets = stage(rows.where(~long).mapInArrow(tidy(lambda it: _short(it, a_path, b_path)), PACKED), "packets", PACKETS_HELD)
     hashes = None
-    segments = stage(rows.where(long).mapInArrow(lambda it: _cut(it, segment), SEGMENTS), "segments")
+    with rows_in_batches(spark, SEGMENTS_HELD):
+        segments = stage(rows.where(long).mapInArrow(lambda it: _cut(it, segment), SEGMENTS), "segments", SEGMENTS_HELD)
     if segments.take(1):
-        with rows_in_batches(docs.sparkSession, 100):
-            parts = stage(segments.repartition("key", "segment").mapInArrow(tidy(lambda it: _fragments(it, a_path, b_path)), FRAGMENTS), "fragments")
+        with rows_in_batches(spark, SEGMENTS_HELD):
+            parts = stage(segments.repartition("key", "segment").mapInArrow(tidy(lambda it: _fragments(it, a_path, b_path)), FRAGMENTS), "fragments", SEGMENTS_HELD)
         known = parts.groupBy("key").agg(F.min("fine").alias("fine"), F.max("segment").alias("last"), F.max("doc_id").alias("doc_id"))
         known = stage(known, "long-texts")
         good = known.where("fine").select("key")
@@ -586,14 +590,17 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
             if left <= 1:
                 break
             tree, span = stage(level.withColumn("first", F.col("segment") * span), "tree"), span * FAN
-        closed = stage(level.mapInArrow(lambda it: _finished(it, a_path, b_path), "key long, segment long, groups string, packed binary"), "closed")
+        with rows_in_batches(spark, SEGMENTS_HELD):
+            closed = stage(level.mapInArrow(lambda it: _finished(it, a_path, b_path), "key long, segment long, groups string, packed binary"), "closed")
         texts = closed.select("key", "segment", F.lit(0).alias("place"), "groups").unionByName(parts.select("key", "segment", F.lit(1).alias("place"), "groups"))
-        hashes = texts.repartition("key").sortWithinPartitions("key", "segment", "place").mapInArrow(_hashed, "key long, sha string")
         inside = parts.select("packed").unionByName(closed.where("packed is not null").select("packed"))
-        packets = packets.unionByName(stage(inside.mapInArrow(_unblob, PACKED), "long-packets"))
+        with rows_in_batches(spark, SEGMENTS_HELD):
+            hashes = stage(texts.repartition("key").sortWithinPartitions("key", "segment", "place").mapInArrow(_hashed, "key long, sha string"), "hashes")
+            packets = packets.unionByName(stage(inside.mapInArrow(_unblob, PACKED), "long-packets", SEGMENTS_HELD))
     number = packets.count()
     salts = max(1, number // 20_000)
-    asked = stage(packets.select("packet", "sizes", "uses", "lasts", "links", "pairs").mapInArrow(lambda it: _asked(it, slices, salts), ASKED), "asked")
+    with rows_in_batches(spark, PACKETS_HELD):
+        asked = stage(packets.select("packet", "sizes", "uses", "lasts", "links", "pairs").mapInArrow(tidy(lambda it: _asked(it, slices, salts)), ASKED), "asked")
     table = asked.repartition("slice", "salt").sortWithinPartitions("slice", "salt").mapInArrow(lambda it: _summed(it, ("slice", "salt")), ASKED)
     if salts > 1:
         table = table.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda it: _summed(it, ("slice",)), ASKED)
@@ -603,17 +610,17 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
         found = table.select("pairs", "counts").collect()  # at most broadcast_bytes
         pairs, counts = (np.concatenate([np.frombuffer(bytes(r[k]), kind) for r in found] or [np.zeros(0, kind)]) for k, kind in enumerate(("u4", "i8")))
         order = np.argsort(pairs)
-        shared = docs.sparkSession.sparkContext.broadcast((pairs[order], counts[order], _best(pairs[order], counts[order])))
+        shared = spark.sparkContext.broadcast((pairs[order], counts[order], _best(pairs[order], counts[order])))
         answered = packets
     else:
         shared, salted = None, table.select("slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("packet"), "pairs", "counts")
         replies = salted.unionByName(asked).repartition("slice", "salt").sortWithinPartitions("slice", "salt", "packet").mapInArrow(_answers, ANSWER)
         replies = replies.groupBy("packet").agg(F.collect_list(F.struct("pairs", "counts", "best")).alias("answers"))
         answered = packets.join(replies, "packet", "left")
-    result = answered.mapInArrow(tidy(lambda it: _totals(it, shared)), RESULT)
+    with rows_in_batches(spark, PACKETS_HELD):
+        result = stage(answered.mapInArrow(tidy(lambda it: _totals(it, shared)), RESULT), "totals")
     if hashes is None:
         return result.drop("key")
-    result = stage(result, "totals")
     sums = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     whole = known.select("key", "doc_id").join(result.where("key >= 0").groupBy("key").agg(*sums), "key", "left").join(hashes, "key", "left")
     whole = whole.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.coalesce("sha", F.lit("")).alias("groups_sha256"))

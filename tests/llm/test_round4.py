@@ -83,3 +83,34 @@ def test_training_follows_the_gradient():
             slope = (loss(far[1]) - loss(far[-1])) / 2e-3
             if abs(slope) > 1e-4:
                 assert np.sign(after[name].flat[at] - w.flat[at]) == -np.sign(slope), (name, at)
+
+
+def test_packets_and_segments_are_held_a_few_at_a_time(spark, monkeypatch):
+    """Row groups and batches for Python hold a few packets, however many rows a task reads."""
+    import glob
+    import re
+
+    import pyarrow.parquet as pq
+
+    from clauseloom.llm import token_alignment as align
+
+    def groups(df):
+        folder = re.sub("^file:/+", "/", df.inputFiles()[0].rsplit("/", 1)[0])
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{folder}/*.parquet")]
+        return [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+
+    assert sorted(groups(common.stage(spark.range(0, 30, 1, 1), "few", 4))) == [2, *[4] * 7]
+    held, stage = {}, align.stage
+
+    def keep(df, name, *a):
+        out = stage(df, name, *a)
+        held[name] = (max(groups(out)), int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return out
+
+    monkeypatch.setattr(align, "stage", keep)
+    rows = [(i, f"word{i % 9} and more of text {i}, as it goes on. " * (1 + 300 * (i % 10 == 0))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert align.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), segment=100).count() == 150
+    assert all(held[name][0] <= align.SEGMENTS_HELD for name in ("segments", "fragments", "long-packets"))
+    assert held["packets"][0] <= align.PACKETS_HELD and held["asked"][1] == held["totals"][1] == align.PACKETS_HELD
+    assert all(held[name][1] == align.SEGMENTS_HELD for name in ("segments", "fragments", "closed", "hashes", "long-packets"))
