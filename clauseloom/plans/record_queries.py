@@ -204,9 +204,7 @@ _checks = O.CHECKS.split(", law AS (", 1)[1].replace("FROM corpus LEFT JOIN law"
 @query(f"{ALL}, {_hay}, law AS ({_checks} SELECT doc_id, item_id, status, finding FROM checks")
 def l1_l6_checks_of_facts(spark, d):
     """Triage over what was extracted from a document instead of its text."""
-    cells = C.cells(spark, d)
-    x = graph.complete(C.corpus(spark, d), cells, texts=False)
-    return assess.triage_checks(staged(graph.haystacks(x, cells), "haystacks"), x["clauses"])
+    return assess.triage_checks(graph.held_haystacks(extract.gathered(C.corpus(spark, d)), C.cell_rows(spark, d)))
 
 
 @query(f"""WITH {O.CLAUSES}, {FACTS}, f AS (SELECT doc_id, string_agg('- [p:' || ordinal || '] (characters ' || char_start || '-' || char_end || '): ' || left(value, 200), chr(10) ORDER BY ordinal) AS facts_text FROM facts WHERE ordinal < 50 GROUP BY doc_id),
